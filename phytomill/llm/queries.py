@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phytomill.functions import clean
-from phytomill.llm import sample, splits, topn
+from phytomill.llm import leaks, mixing, sample, splits, subjects, topn
 from phytomill.runtime import materialize, read
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -64,4 +64,41 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(ledger.select("taxon", "chosen_at"), "taxon").select("row_id", "taxon", "chosen_at")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample)}
+# problem 7
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, leaked stretches cut out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return leaks.remove_leaks(docs, read(spark, sf_dir, "eval_items"))
+
+
+# problem 8
+def mix_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = materialize(mixing.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "source", "text")), "sizes")
+    return sized, mixing.plan_mix(sized, read(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(spark, sf_dir)[1].filter("not reachable").select("source")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.draw_mix(*mix_plan(spark, sf_dir))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized, plan = mix_plan(spark, sf_dir)
+    return mixing.report_mix(mixing.draw_mix(sized, plan), plan)
+
+
+# problem 9
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    model = subjects.fit_subjects(docs, read(spark, sf_dir, "subject_labels"), read(spark, sf_dir, "subject_areas"), hint="source")
+    return subjects.assign_subjects(docs, model).select("doc_id", "subject")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p7_found, p7_clean, p8_found, p8_mix, p8_report, p9_found)}
