@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
-import phytomill
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions sent to executors carry their code along, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(phytomill)
-
 #: A lookup side is broadcast only up to this many rows; beyond it the join shuffles and AQE splits hot keys.
 BROADCAST_ROWS = 200_000
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def session(app: str = "phytomill", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,6 +33,17 @@ def session(app: str = "phytomill", master: str | None = None, **conf: str) -> S
     return builder.config(map=base | conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once an application; local masters share the driver's files."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    base = f"{tempfile.mkdtemp(prefix='phytomill-code-')}/phytomill-code"
+    sc.addPyFile(shutil.make_archive(base, "zip", package.parent, package.name))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -49,6 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there and a lost executor costs no rerun."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/phytomill-{uuid.uuid4().hex[:12]}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
@@ -80,4 +90,5 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "le
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
