@@ -46,9 +46,22 @@ def ledger_sql(share: float, batches: int = 5) -> str:
     return "with " + ", ".join(parts) + f" select row_id, taxon, chosen_at from (select row_id, {TAXON} taxon from taxonomy_enriched) join l{batches} using (taxon)"
 
 
+def neighbours(ask: str, ask_id: str, where: str, columns: str) -> str:
+    usable = "embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_max(list_transform(embedding, lambda x: abs(x))) > 0"
+    cosine = "round(list_cosine_similarity(q.e, i.e), 5)"
+    return f"""
+with q as (select {ask_id} id, embedding::double[] e from {ask} where {usable} and {where}),
+i as (select vec_id id, embedding::double[] e from bioclip_full_index where {usable}),
+s as (select q.id qid, i.id iid, {cosine} similarity from q join i on {'q.id <> i.id' if ask == 'bioclip_full_index' else 'true'}),
+r as (select *, row_number() over (partition by qid order by similarity desc, iid) n from s)
+select {columns} from r where n <= 3"""
+
+
 ORACLE = {
     "p1_found": top_counts(5, "family, taxon_id"),
     "p1_top100": top_counts(100, "family, taxon_id, observations_count"),
     "p2_found": P2_FOUND,
+    "p5_found": neighbours("image_index", "img_vec_id", "true", "qid img_vec_id, iid vec_id"),
+    "p5_within": neighbours("bioclip_full_index", "vec_id", "vec_id % 20 = 0", "qid query_vec_id, iid vec_id, similarity"),
     "p3_sample": ledger_sql(0.2),
 }

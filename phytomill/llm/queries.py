@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phytomill.functions import clean
-from phytomill.llm import leaks, mixing, sample, splits, subjects, topn
+from phytomill.llm import knn, leaks, mixing, sample, splits, subjects, topn
 from phytomill.runtime import materialize, read
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -64,6 +64,18 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(ledger.select("taxon", "chosen_at"), "taxon").select("row_id", "taxon", "chosen_at")
 
 
+# problem 5
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = knn.nearest(read(spark, sf_dir, "image_index"), read(spark, sf_dir, "bioclip_full_index"), 3, "img_vec_id", "vec_id")
+    return found.select("img_vec_id", "vec_id")
+
+
+def p5_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_vec_id, vec_id, similarity): within the name index, for every row whose id is divisible by 20."""
+    index = read(spark, sf_dir, "bioclip_full_index")
+    return knn.nearest(index.filter(F.col("vec_id") % 20 == 0), index, 3, "vec_id", "vec_id", same=True)
+
+
 # problem 7
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -101,4 +113,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign_subjects(docs, model).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p7_found, p7_clean, p8_found, p8_mix, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p5_found, p5_within, p7_found, p7_clean, p8_found, p8_mix, p8_report, p9_found)}
