@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phytomill.functions import clean
-from phytomill.llm import knn, leaks, mixing, sample, splits, subjects, topn
+from phytomill.llm import clusters, knn, leaks, mixing, sample, splits, subjects, topn
 from phytomill.runtime import materialize, read
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -76,6 +76,18 @@ def p5_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(index.filter(F.col("vec_id") % 20 == 0), index, 3, "vec_id", "vec_id", same=True)
 
 
+# problem 6
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(read(spark, sf_dir, "bioclip_full_index"), "vec_id").select("vec_id", "cluster_id")
+
+
+def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a cluster: size, families, commonest family and its share, most typical entries."""
+    index = read(spark, sf_dir, "bioclip_full_index")
+    members = materialize(clusters.cluster(index, "vec_id"), "members")
+    return clusters.describe(members, index.select("vec_id", clean.name(F.col("family")).alias("family")), "vec_id", "family")
+
+
 # problem 7
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -113,4 +125,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign_subjects(docs, model).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p5_found, p5_within, p7_found, p7_clean, p8_found, p8_mix, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p5_found, p5_within, p6_found, p6_clusters, p7_found, p7_clean, p8_found, p8_mix, p8_report, p9_found)}
