@@ -2,17 +2,7 @@
 
 from __future__ import annotations
 
-TAXON = "try_cast(regexp_extract(cast(taxon_id as varchar), '([0-9]+)([.]0*)?[^0-9]*$', 1) as bigint)"
-MISSING = "('', '-', '--', '?', 'n/a', 'na', 'nan', 'none', 'null')"
-
-
-def stripped(column: str) -> str:
-    return f"trim(replace(replace(replace({column}, chr(8203), ''), chr(160), ' '), chr(9), ' '))"
-
-
-def name(column: str) -> str:
-    s = stripped(column)
-    return f"case when lower({s}) not in {MISSING} then upper(left({s}, 1)) || lower(substr({s}, 2)) end"
+from phytomill.plans.sql import TAXON, name
 
 
 def top_counts(n: int, columns: str) -> str:

@@ -5,39 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phytomill.operators.acquire import lowest, priority
 from phytomill.runtime import materialize
 
 
-def priority(key: str, seed: str) -> F.Column:
-    """60 bits of md5(seed:key): the same in every run, partitioning and engine."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("bigint")
-
-
-def lowest(df: DataFrame, column: str, count: int, bits: int = 60, step: int = 12, final_rows: int = 4096) -> DataFrame:
-    """The `count` rows lowest in a non-negative BIGINT column of at most `bits` bits; more where values tie at the end.
-
-    Counts per slice of 2^step narrow the cutoff, so no ordering of all rows and no big limit is needed.
-    """
-    if count <= 0:
-        return df.limit(0)
-    base, need, left = 0, count, bits
-    while left > 0:
-        take = min(step, left)
-        left -= take
-        inside = df.filter((F.col(column) >= base) & (F.col(column) < base + (1 << (left + take))))
-        counts = inside.groupBy(F.shiftright(F.col(column) - F.lit(base), left).alias("slice")).count()
-        for row in sorted(counts.collect()):  # at most 2^step rows
-            if row["count"] >= need:
-                base, inside_count = base + (row["slice"] << left), row["count"]
-                break
-            need -= row["count"]
-        else:
-            return df  # fewer rows than asked for
-        if inside_count == need:
-            break
-    return df.filter(F.col(column) < base + (1 << left))
-
-
 def grow_ledger(keys: DataFrame, ledger: DataFrame | None, key: str, share: float, step_no: int, seed: str = "sample") -> DataFrame:
     """The next state of the selection ledger, columns (key, priority, chosen_at).
 
@@ -46,7 +17,7 @@ def grow_ledger(keys: DataFrame, ledger: DataFrame | None, key: str, share: floa
     ledger's present keys leave open is filled from unseen keys of lowest hash priority. Neither order nor partitioning of
     the input matters. No keys: the ledger as it was. A lower share later removes nothing.
     """
-    known = keys.select(F.col(key)).dropna().distinct().withColumn("priority", priority(key, seed))
+    known = keys.select(F.col(key)).dropna().distinct().withColumn("priority", priority(F.col(key), seed))
     if ledger is None:
         unseen, kept = known, 0
     else:

@@ -9,36 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phytomill.functions.arrays import matrix, unit
 from phytomill.runtime import lookup_join, materialize
 
 #: Rows, lowest by hash, on which projections and the spread of keys are fitted. All rows are then indexed.
 FIT_ROWS = 32_768
 
 
-def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+def usable(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(usable, float32 rows of the usable): those of `dims` finite numbers, not all zero."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if not n:
-        return np.zeros(0, dtype=bool), np.zeros((0, dims), dtype=np.float32)
-    offsets = column.offsets.to_numpy()
-    values = column.values
-    gaps = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else None
-    flat = values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    if gaps is not None:
-        flat = np.where(gaps, np.nan, flat)
-    usable = (np.diff(offsets) == dims) & ~column.is_null().to_numpy(zero_copy_only=False)
-    rows = flat[offsets[:-1][usable][:, None] + np.arange(dims)]
-    good = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
-    usable[np.nonzero(usable)[0][~good]] = False
-    return usable, np.ascontiguousarray(rows[good])
-
-
-def unit(rows: np.ndarray) -> np.ndarray:
-    wide = rows.astype(np.float64)
-    wide /= np.abs(wide).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
-    return wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))
+    good, rows = matrix(column, dims)
+    full = (rows != 0).any(axis=1)
+    good[np.nonzero(good)[0][~full]] = False
+    return good, rows[full]
 
 
 def packed(rows: np.ndarray) -> pa.Array:
@@ -66,8 +49,8 @@ def usable_vectors(df: DataFrame, id_: str, column: str, dims: int, name: str =
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            usable, rows = matrix(b.column(1), dims)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(usable)), packed(rows)], names=["id", "vec"])
+            good, rows = usable(b.column(1), dims)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), packed(rows)], names=["id", "vec"])
 
     rows = df.filter(F.col(id_).isNotNull() & (F.size(column) == dims)).select(F.col(id_).cast("bigint").alias("id"), F.col(column).cast("array<float>").alias("v"))
     return materialize(rows.mapInArrow(read, "id bigint, vec binary").withColumn("h", F.xxhash64("vec")), name)
