@@ -7,7 +7,8 @@ import re
 import unicodedata
 
 # UTF-8 read as Windows-1252: a lead byte's letter, then letters of continuation bytes
-_DAMAGED = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]{1,3}")
+_LATER = "[\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘-„†-•…‰‹›€™]"
+_DAMAGED = re.compile(f"[Â-ß]{_LATER}|[à-ï]{_LATER}{{2}}|[ð-ô]{_LATER}{{3}}")
 _TAG = re.compile(r"<(?:/?[a-zA-Z!][^<>]*|/)>")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
