@@ -16,7 +16,9 @@ from phytomill.functions.plaintext import fold, plain
 from phytomill.runtime import lookup_join, materialize
 
 #: Bounds of what the rules are fitted on; everything else covers all documents.
-LABELLED_DOCS, UNLABELLED_DOCS = 20_000, 20_000
+LABELLED_DOCS, UNLABELLED_DOCS = 3_000, 3_000
+#: Share of the cases that a rule's terms need at least, beside min_count: it keeps long patterns out of the mining.
+MIN_SHARE = 4e-4
 MAX_RULES = 100_000
 
 # a stop before "var." and the like ends no sentence
@@ -51,15 +53,16 @@ def _sentence_table(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 def mine_rules(cases: DataFrame, min_count: int = 3, min_confidence: float = 0.6, longest: int = 2, gain: float = 0.05) -> DataFrame:
     """Class-association rules (terms, subject, hits, seen, weight) from `cases` (terms ARRAY<STRING>, subject STRING).
 
-    Terms seen fewer than min_count times, or whose commonest subject has under half of min_confidence, can't matter and go
+    Terms seen fewer than min_count times (or MIN_SHARE of the cases), or whose commonest subject has under half of min_confidence, can't matter and go
     first. The rest is mined with parallel FP-growth together with each case's class item. A rule is kept if at least
     min_confidence of the cases with its terms have its subject, and pruned as redundant unless it beats each shorter rule with
     some of its terms by `gain`. weight: log odds of the smoothed confidence over those of the subject at large.
     """
-    cases = cases.filter(F.col("subject").isNotNull())
+    cases = materialize(cases.filter(F.col("subject").isNotNull()), "labelled-sentences")
+    total = cases.count()
+    min_count = max(min_count, round(MIN_SHARE * total))
     single = cases.select("subject", F.explode("terms").alias("t")).groupBy("t", "subject").count()
     useful = single.groupBy("t").agg(F.sum("count").alias("n"), F.max("count").alias("m")).filter((F.col("n") >= min_count) & (F.col("m") >= F.col("n") * min_confidence / 2)).select("t")
-    total = cases.count()
     prior = cases.groupBy("subject").agg((F.count(F.lit(1)) / F.lit(float(max(1, total)))).alias("prior"))
     items = cases.withColumn("id", F.monotonically_increasing_id()).select("id", "subject", F.explode("terms").alias("t"))
     items = lookup_join(items, materialize(useful, "useful"), ["t"], "inner").groupBy("id", "subject").agg(F.collect_set("t").alias("terms"))  # one sentence's words
