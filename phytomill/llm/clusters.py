@@ -113,7 +113,7 @@ def _assign(vectors: DataFrame, centres: DataFrame, count: int, dims: int) -> Da
 
         return df.select(id_, vec).mapInArrow(run, f"{id_} bigint, embedding array<float>")
 
-    hits = knn.nearest(floats(vectors, "id", "vec"), floats(centres, "centre", "cvec"), 1, "id", "centre", dims=dims, curves=4, places=9)
+    hits = knn.nearest(floats(vectors, "id", "vec"), floats(centres, "centre", "cvec"), 1, "id", "centre", dims=dims, places=9)
     return vectors.join(hits.select("id", "centre", F.col("similarity").alias("cos")), "id", "left").select("id", "vec", "w", "centre", "cos")
 
 

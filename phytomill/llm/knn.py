@@ -1,8 +1,9 @@
-"""The k most similar vectors of every vector, by windows of several Hilbert orderings."""
+"""The k most similar vectors of every vector: each query compared with every index vector, in blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,121 +11,96 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phytomill.llm import vectors as V
-from phytomill.runtime import lookup_join, materialize
+from phytomill.runtime import materialize
 
-#: Index rows, and queries, that one group of a curve takes about.
-GROUP_ROWS = 16_384
+#: Queries that travel at once, and hits kept of them at once in a task; queries and candidate pairs multiplied at once.
+QUERY_ROWS, KEPT, TILE, PAIRS = 32_768, 2_000_000, 1024, 65_536
 
 
-def _record(dims: int) -> np.dtype:
-    return np.dtype([("key", "<i8"), ("id", "<i8"), ("factor", "<f4"), ("code", "i1", (dims,))])
+def scan(batches: Iterator[pa.RecordBatch], ids: np.ndarray, rows: np.ndarray, k: int, same: bool, window: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index ids, similarities), k a query, of the index batches (id, vec): highest rounded cosine, equal: smaller id; -inf: none.
+
+    Single precision only rules out: what could still reach a query's k-th value, by rounding or by the error of single
+    precision, is computed in double precision and rounded before it is compared.
+    """
+    dims = rows.shape[1]
+    exact = V.unit(rows)
+    rough = exact.astype(np.float32)
+    score, found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
+    slack = 10.0**-places + dims * 2.5e-7
+    kth = k + same  # a query itself may be among the best
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names, own = b.column(0).to_numpy(zero_copy_only=False), V.unit(V.unpacked(b.column(1), dims))
+        light = own.astype(np.float32)
+        for low in range(0, len(names), window):
+            part = light[low : low + window]
+            for a in range(0, len(ids), TILE):
+                s = rough[a : a + TILE] @ part.T
+                edge = score[a : a + TILE, -1]
+                if np.isinf(edge).any() and s.shape[1] > kth:
+                    edge = np.maximum(edge, np.partition(s, s.shape[1] - kth, axis=1)[:, -kth])
+                edge = (edge - slack).astype(np.float32)
+                open_ = np.nonzero(s.max(axis=1) >= edge)[0]
+                flat = np.flatnonzero(s[open_] >= edge[open_, None])
+                if not len(flat):
+                    continue
+                q, i = a + open_[flat // s.shape[1]], low + flat % s.shape[1]
+                if same:
+                    other = ids[q] != names[i]
+                    q, i = q[other], i[other]
+                cos = [(exact[q[j : j + PAIRS]] * own[i[j : j + PAIRS]]).sum(axis=1) for j in range(0, len(q), PAIRS)]
+                cos = np.round(np.concatenate(cos), places) if cos else np.array([])
+                which = np.unique(q)
+                q, cos, i = np.concatenate([np.repeat(which, k), q]), np.concatenate([score[which].ravel(), cos]), np.concatenate([found[which].ravel(), names[i]])
+                order = np.lexsort((i, -cos, q))
+                q, cos, i = q[order], cos[order], i[order]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                best = rank < k
+                score[q[best], rank[best]], found[q[best], rank[best]] = cos[best], i[best]
+    return found, score
 
 
 def nearest(
     queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id: str, column: str = "embedding", dims: int = 64,
-    curves: int = 8, window: int = 1024, spare: int = 3, same: bool = False, places: int = 5,
+    window: int = 4096, same: bool = False, places: int = 5,
 ) -> DataFrame:
     """(query_id, index_id, similarity): each usable query's k index vectors of highest cosine, rounded; equal: smaller id.
 
-    Projected on `curves` shifted and rotated sets of axes, all vectors are ordered along Hilbert curves; the fit takes a sample
-    of at most about V.FIT_ROWS rows. A curve is cut into ranges of about GROUP_ROWS index vectors; a query goes to the ranges its window
-    (`window` rows to either side) touches, so windows cross borders; more queries than that are split, with the range's index
-    rows copied to each part. In a window vectors are compared as bytes, the best k + spare of each curve merge, and the merged
-    ones are reranked by exact cosine. Index copies beyond the k smallest ids of one vector can't be among the k and stay out.
+    Exact at every size: blocks of about QUERY_ROWS queries are broadcast, and each task compares them with all its index rows,
+    `window` at once, and gives k hits a query; only these are shuffled. Work grows with queries x index rows, shuffled data with queries
+    x tasks. Index copies beyond the k smallest ids of one vector can't be among the k and stay out.
 
     Unusable vectors (null, not `dims` long, not finite, all zero) and null ids take no part. With `same` a query never finds
-    its own id. Fewer than k usable index vectors: all of them. Repeated query ids must not occur. An empty side gives no rows.
+    its own id. Fewer than k usable index vectors: all of them. Ids must not repeat on a side. An empty side gives no rows.
     """
     spark = queries.sparkSession
     own_index, own_query = (index_id, query_id) if index_id != query_id else (index_id, f"query_{query_id}")
     base = V.usable_vectors(index, index_id, column, dims, "index")
     asked = V.usable_vectors(queries, query_id, column, dims, "queries")
-    k_ = k + same
-    base = V.without_surplus_copies(base, k_)
-    n, m = base.count(), asked.count()
+    base = V.without_surplus_copies(base, k + same).select("id", "vec")
+    m = asked.count()
     schema = f"{own_query} bigint, {own_index} bigint, similarity double"
-    if not n or not m:
+    if not m or base.isEmpty():
         return spark.createDataFrame([], schema)
-    plan = spark.sparkContext.broadcast(V.Curves(V.fit_sample(base, n, dims), n, curves if n > window else 1, seed=5))
-    parts = -(-n // GROUP_ROWS)
-    size = n / parts
-    chunks = max(1, round(m / parts / GROUP_ROWS))
-    record = _record(dims)
-
-    def scatter(is_query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                rows = V.unit(V.unpacked(b.column(1), dims))
-                code, factor = V.quantized(rows)
-                block = np.zeros(len(rows), dtype=record)
-                block["id"], block["factor"], block["code"] = b.column(0).to_numpy(zero_copy_only=False), factor, code
-                groups, blocks = [], []
-                for c in range(plan.value.curves):
-                    key, rank = plan.value.place(rows, c)
-                    block["key"] = key
-                    if is_query:
-                        first = np.clip((rank - window) // size, 0, parts - 1).astype(np.int64)
-                        last = np.clip((rank + window) // size, 0, parts - 1).astype(np.int64)
-                        chunk = (block["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % chunks
-                        sent = [(np.nonzero(first + step <= last)[0], step) for step in range(int((last - first).max()) + 1)]
-                        which = np.concatenate([i for i, _ in sent])
-                        part = np.concatenate([first[i] + step for i, step in sent]) * chunks + chunk[which]
-                    else:
-                        home = np.clip(rank // size, 0, parts - 1).astype(np.int64)
-                        which = np.tile(np.arange(len(rows)), chunks)
-                        part = np.concatenate([home * chunks + j for j in range(chunks)])
-                    order = np.argsort(part, kind="stable")
-                    part, which = part[order], which[order]
-                    edges = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
-                    for a, z in zip(edges[:-1], edges[1:]):
-                        groups.append(c * parts * chunks + int(part[a]))
-                        blocks.append(block[which[a:z]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array([is_query] * len(groups)), pa.array(blocks, pa.binary())], names=["g", "q", "block"])
-
-        return run
-
-    def search(table: pa.Table) -> pa.Table:
-        sides = {}
-        is_query = table.column("q").to_numpy()
-        blocks = table.column("block").to_pylist()
-        for side in (True, False):
-            sides[side] = np.frombuffer(b"".join(x for x, q in zip(blocks, is_query) if q == side), dtype=record)
-        asked_, known = (s[np.lexsort((s["id"], s["key"]))] for s in (sides[True], sides[False]))
-        out_q, out_i, out_s = [], [], []
-        if len(asked_) and len(known):
-            matrix = known["code"].astype(np.float32) * known["factor"][:, None]
-            at = np.searchsorted(known["key"], asked_["key"])
-            want = k_ + spare
-            for a in range(0, len(asked_), 256):
-                part = asked_[a : a + 256]
-                low, high = max(0, int(at[a]) - window), min(len(known), int(at[a + len(part) - 1]) + window + 1)
-                s = (part["code"].astype(np.float32) * part["factor"][:, None]) @ matrix[low:high].T
-                top = np.argpartition(s, s.shape[1] - want, axis=1)[:, -want:] if s.shape[1] > want else np.tile(np.arange(s.shape[1]), (len(part), 1))
-                out_q.append(np.repeat(part["id"], top.shape[1]))
-                out_i.append(known["id"][low + top].ravel())
-                out_s.append(np.take_along_axis(s, top, axis=1).ravel())
-        flat = [np.concatenate(x) if x else np.array([], dtype=t) for x, t in ((out_q, np.int64), (out_i, np.int64), (out_s, np.float32))]
-        return pa.table({"qid": flat[0], "iid": flat[1], "s": flat[2].astype(np.float32)})
-
-    sent = base.select("id", "vec").mapInArrow(scatter(False), "g bigint, q boolean, block binary").union(asked.select("id", "vec").mapInArrow(scatter(True), "g bigint, q boolean, block binary"))
-    hits = sent.groupBy("g").applyInArrow(search, "qid bigint, iid bigint, s float")
-    if same:
-        hits = hits.filter("qid <> iid")
-    want = k_ + spare
-    # at most curves x (k + spare) hits a query meet here
-    best = hits.groupBy("qid", "iid").agg(F.max("s").alias("s")).groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "iid"))), 1, want).alias("best"))
-    pairs = materialize(best.select("qid", F.explode("best.iid").alias("iid")), "pairs")
-    full = lookup_join(pairs, base.select(F.col("id").alias("iid"), F.col("vec").alias("ivec")), ["iid"], "inner", 20_000) if n <= 20_000 else lookup_join(base.select(F.col("id").alias("iid"), F.col("vec").alias("ivec")), pairs, ["iid"], "inner")
-    full = lookup_join(full, asked.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), ["qid"], "inner", 50_000)
-
-    def cosine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = (V.unit(V.unpacked(b.column(2), dims)) * V.unit(V.unpacked(b.column(3), dims))).sum(axis=1) if b.num_rows else np.array([])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(s, places))], names=["qid", "iid", "s"])
-
-    exact = full.select("qid", "iid", "ivec", "qvec").mapInArrow(cosine, "qid bigint, iid bigint, s double")
-    top = exact.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "iid"))), 1, k).alias("top"))
-    top = top.select("qid", F.explode("top").alias("t"))
+    blocks = -(-m // max(1, min(QUERY_ROWS, KEPT // k)))
+    out = []
+    for block in range(blocks):
+        table = asked.filter(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)) == block).select("id", "vec").toArrow()  # about QUERY_ROWS
+        if not table.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((table.column(0).to_numpy(), V.unpacked(table.column(1), dims)))
+
+        def compare(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, rows = sent.value
+            found, score = scan(batches, ids, rows, k, same, window, places)
+            q, at = np.nonzero(score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(found[q, at]), pa.array(score[q, at])], names=["qid", "iid", "s"])
+
+        hits = base.mapInArrow(compare, "qid bigint, iid bigint, s double")  # k a query and task
+        top = hits.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("s")).alias("s"), "iid"))), 1, k).alias("top"))
+        out.append(materialize(top.select("qid", F.explode("top").alias("t")), "nearest"))
+        sent.unpersist()
+    top = reduce(DataFrame.union, out)
     return top.select(F.col("qid").alias(own_query), F.col("t.iid").alias(own_index), (-F.col("t.s")).alias("similarity"))

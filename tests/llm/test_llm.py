@@ -94,6 +94,35 @@ def test_nearest(spark):
     assert knn.nearest(asked.limit(0), df, 2, "q", "id", dims=16).count() == 0 and knn.nearest(asked, df.filter("id < 0"), 2, "q", "id", dims=16).count() == 0
 
 
+def exact_nearest(asked, index, k):
+    """{query id: [index ids]} by brute force; both sides {id: vector}."""
+    ids = np.array(sorted(index))
+    x = np.array([index[i] for i in ids], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    out = {}
+    for q, v in asked.items():
+        v = np.array(v, dtype=np.float32).astype(float)
+        s = np.round(x @ (v / np.linalg.norm(v)), 5)
+        out[q] = ids[np.lexsort((ids, -s))[:k]].tolist()
+    return out
+
+
+def found_nearest(frame):
+    got = {}
+    for r in frame.orderBy("q", F.desc("similarity"), "id").collect():
+        got.setdefault(r.q, []).append(r.id)
+    return got
+
+
+def test_nearest_misses_none_beyond_a_window(spark):
+    rng = np.random.default_rng(6)
+    x = {k: r.tolist() for k, r in enumerate(rng.normal(size=(6000, 64)))}  # no cluster to sort by
+    index = spark.createDataFrame(list(x.items()), "id bigint, embedding array<float>").repartition(3)
+    asked = {k: x[k] for k in range(0, 6000, 2)}
+    queries = spark.createDataFrame(list(asked.items()), "q bigint, embedding array<float>")
+    assert found_nearest(knn.nearest(queries, index, 3, "q", "id", window=150)) == exact_nearest(asked, x, 3)
+
+
 def test_hilbert_is_a_curve():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     keys = vectors.hilbert(grid, 3)
