@@ -123,6 +123,24 @@ def test_nearest_misses_none_beyond_a_window(spark):
     assert found_nearest(knn.nearest(queries, index, 3, "q", "id", window=150)) == exact_nearest(asked, x, 3)
 
 
+def test_nearest_orders_copies_of_one_direction_by_id(spark):
+    rng = np.random.default_rng(7)
+    x = {int(k): r.tolist() for k, r in zip(rng.permutation(3000), rng.normal(size=(3000, 64)))}
+    one, two = np.array(x[11]), np.array(x[22])
+    for k in range(3000, 3040):
+        x[k] = (one * (1 + k % 37 / 7)).tolist()  # equal cosine, different vectors
+    for k in range(3040, 3080):
+        x[k] = (two + rng.normal(size=64) * 2e-3).tolist()  # closer than bytes can tell
+    places = dict(zip(x, rng.permutation(len(x)).tolist()))
+    x = {places[k]: v for k, v in x.items()}
+    asked = {places[k]: x[places[k]] for k in [11, 22, *range(3000, 3080)]}
+    index = spark.createDataFrame(list(x.items()), "id bigint, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame(list(asked.items()), "q bigint, embedding array<float>")
+    assert found_nearest(knn.nearest(queries, index, 3, "q", "id")) == exact_nearest(asked, x, 3)
+    within = knn.nearest(queries.withColumnRenamed("q", "id"), index, 3, "id", "id", same=True).withColumnRenamed("query_id", "q")
+    assert found_nearest(within) == {q: [i for i in ids if i != q][:3] for q, ids in exact_nearest(asked, x, 4).items()}
+
+
 def test_hilbert_is_a_curve():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3), -1).reshape(-1, 3)
     keys = vectors.hilbert(grid, 3)
