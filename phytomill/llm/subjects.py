@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +15,12 @@ from phytomill.functions.plaintext import fold, plain
 from phytomill.runtime import lookup_join, materialize
 
 #: Bounds of what the rules are fitted on; everything else covers all documents.
-LABELLED_DOCS, UNLABELLED_DOCS = 3_000, 3_000
-#: Share of the cases that a rule's terms need at least, beside min_count: it keeps long patterns out of the mining.
-MIN_SHARE = 4e-4
+LABELLED_DOCS, UNLABELLED_DOCS = 20_000, 20_000
 MAX_RULES = 100_000
 
 # a stop before "var." and the like ends no sentence
 _STOP = re.compile(r"(?<!\bvar)(?<!\bno)(?<!\bnr)(?<!\bsubsp)(?<!\bssp)(?<!\bcf)[.!?…]+[\"')\]]*(?=\s|$)|\n\s*\n|\n(?=[#>*-])")
 _TERM = re.compile(r"[^\W\d_]{2,}")
-CLASS = "="  # no term holds it
 
 
 def sentences(text: str | None) -> list[list[str]]:
@@ -50,42 +46,36 @@ def _sentence_table(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return docs.select(*keep, text).mapInArrow(split, schema)
 
 
-def mine_rules(cases: DataFrame, min_count: int = 3, min_confidence: float = 0.6, longest: int = 2, gain: float = 0.05) -> DataFrame:
+def mine_rules(cases: DataFrame, min_count: int = 3, min_confidence: float = 0.6, longest: int = 2) -> DataFrame:
     """Class-association rules (terms, subject, hits, seen, weight) from `cases` (terms ARRAY<STRING>, subject STRING).
 
-    Terms seen fewer than min_count times (or MIN_SHARE of the cases), or whose commonest subject has under half of min_confidence, can't matter and go
-    first. The rest is mined with parallel FP-growth together with each case's class item. A rule is kept if at least
-    min_confidence of the cases with its terms have its subject, and pruned as redundant unless it beats each shorter rule with
-    some of its terms by `gain`. weight: log odds of the smoothed confidence over those of the subject at large.
+    Terms seen fewer than min_count times, or whose commonest subject has under half of min_confidence, can't matter and go
+    first. The rest is counted by subject: single terms, then (`longest` 2) pairs of terms that have no rule of their own, the only
+    ones a RuleBook uses. A rule is kept if it has min_count cases, however many cases there are, and at least
+    min_confidence of the cases with its terms have its subject. weight: log odds of the smoothed confidence over those of the subject at large.
     """
-    cases = materialize(cases.filter(F.col("subject").isNotNull()), "labelled-sentences")
+    if longest not in (1, 2):
+        raise ValueError("rules have one or two terms")
+    cases = materialize(cases.filter(F.col("subject").isNotNull()).select("subject", F.array_compact(F.array_distinct("terms")).alias("terms")), "labelled-sentences")
     total = cases.count()
-    min_count = max(min_count, round(MIN_SHARE * total))
-    single = cases.select("subject", F.explode("terms").alias("t")).groupBy("t", "subject").count()
-    useful = single.groupBy("t").agg(F.sum("count").alias("n"), F.max("count").alias("m")).filter((F.col("n") >= min_count) & (F.col("m") >= F.col("n") * min_confidence / 2)).select("t")
     prior = cases.groupBy("subject").agg((F.count(F.lit(1)) / F.lit(float(max(1, total)))).alias("prior"))
-    items = cases.withColumn("id", F.monotonically_increasing_id()).select("id", "subject", F.explode("terms").alias("t"))
-    items = lookup_join(items, materialize(useful, "useful"), ["t"], "inner").groupBy("id", "subject").agg(F.collect_set("t").alias("terms"))  # one sentence's words
-    items = materialize(items.select(F.array_append("terms", F.concat(F.lit(CLASS), "subject")).alias("items")), "cases")
-    spark = cases.sparkSession
-    schema = "terms array<string>, subject string, hits bigint, seen bigint, weight double"
-    if items.isEmpty():
-        return spark.createDataFrame([], schema)
-    model = FPGrowth(itemsCol="items", minSupport=min_count / max(1, items.count()), minConfidence=0.0, numPartitions=spark.sparkContext.defaultParallelism * 2).fit(items)
-    sets = model.freqItemsets.filter(F.size("items") <= longest + 1)
-    sets = sets.withColumn("cls", F.filter("items", lambda x: x.startswith(CLASS))).withColumn("terms", F.array_sort(F.filter("items", lambda x: ~x.startswith(CLASS))))
-    sets = materialize(sets.filter((F.size("cls") <= 1) & (F.size("terms") >= 1) & (F.size("terms") <= longest)).select("terms", "cls", "freq"), "itemsets")
-    seen = sets.filter(F.size("cls") == 0).select("terms", F.col("freq").alias("seen"))
-    rules = sets.filter(F.size("cls") == 1).select("terms", F.expr("substring(cls[0], 2)").alias("subject"), F.col("freq").alias("hits")).join(seen, "terms")
-    rules = rules.withColumn("confidence", F.col("hits") / F.col("seen")).filter(F.col("confidence") >= min_confidence)
-    rules = materialize(rules, "rules")
-    shorter = rules.filter(F.size("terms") == 1).select(F.col("terms")[0].alias("part"), "subject", F.col("confidence").alias("base"))
-    long = rules.filter(F.size("terms") > 1).select("*", F.explode("terms").alias("part")).join(shorter, ["part", "subject"], "left")
-    long = long.groupBy("terms", "subject", "hits", "seen", "confidence").agg(F.max("base").alias("base")).filter("base is null or confidence >= base + " + str(gain)).drop("base")
-    kept = rules.filter(F.size("terms") == 1).unionByName(long).join(prior, "subject")
+    single = cases.select("subject", F.explode("terms").alias("t")).groupBy("t", "subject").agg(F.count(F.lit(1)).alias("hits"))
+    single = materialize(single, "terms")
+    useful = single.groupBy("t").agg(F.sum("hits").alias("seen"), F.max("hits").alias("most")).filter((F.col("seen") >= min_count) & (F.col("most") >= F.col("seen") * min_confidence / 2))
+    useful = materialize(useful.select("t", "seen"), "useful")
+    ruled = (F.col("hits") >= min_count) & (F.col("hits") >= F.col("seen") * min_confidence)
+    rules = materialize(lookup_join(single, useful, ["t"], "inner").filter(ruled).select(F.array("t").alias("terms"), "subject", "hits", "seen"), "rules")
+    if longest == 2:
+        open_ = materialize(lookup_join(useful.select("t"), rules.select(F.col("terms")[0].alias("t")).distinct(), ["t"], "left_anti"), "open")
+        items = cases.withColumn("id", F.monotonically_increasing_id()).select("id", "subject", F.explode("terms").alias("t"))
+        items = lookup_join(items, open_, ["t"], "inner").groupBy("id", "subject").agg(F.sort_array(F.collect_set("t")).alias("terms"))  # one sentence's words
+        two = F.expr("explode(flatten(transform(terms, (a, i) -> transform(slice(terms, i + 2, size(terms)), b -> array(a, b)))))")
+        pairs = materialize(items.select("subject", two.alias("terms")).groupBy("terms", "subject").agg(F.count(F.lit(1)).alias("hits")), "pairs")
+        seen = pairs.groupBy("terms").agg(F.sum("hits").alias("seen"), F.max("hits").alias("most")).filter(F.col("most") >= min_count).drop("most")
+        rules = rules.unionByName(pairs.filter(F.col("hits") >= min_count).join(seen, "terms").filter(ruled).select("terms", "subject", "hits", "seen"))
     p = (F.col("hits") + F.col("prior")) / (F.col("seen") + 1.0)
     odds = lambda x: F.log(F.least(x, F.lit(0.999)) / (1 - F.least(x, F.lit(0.999))))
-    return kept.select("terms", "subject", "hits", "seen", (odds(p) - odds(F.col("prior"))).alias("weight"))
+    return rules.join(F.broadcast(prior), "subject").select("terms", "subject", "hits", "seen", (odds(p) - odds(F.col("prior"))).alias("weight"))
 
 
 class RuleBook:
@@ -116,7 +106,7 @@ class RuleBook:
 
 
 def rule_book(rules: DataFrame) -> RuleBook:
-    rows = [(r["terms"], r["subject"], r["weight"]) for r in rules.orderBy(F.desc("seen"), "terms", "subject").limit(MAX_RULES).collect()]
+    rows = [(r["terms"], r["subject"], r["weight"]) for r in rules.orderBy(F.size("terms"), F.desc("seen"), "terms", "subject").limit(MAX_RULES).collect()]
     return RuleBook(rows)
 
 

@@ -228,6 +228,15 @@ def test_subjects(spark):
     assert subjects.assign_subjects(df, empty).count() == 0
 
 
+def test_rare_subjects_keep_their_rules(spark):
+    common = [([f"word{k % 7}", f"more{k % 5}"], ("law", "food")[k % 2]) for k in range(20_000)]
+    rare = [(["mossa", "word1"] if k < 4 else ["left", "right"] if k < 8 else ["word2"], "moss") for k in range(20)]
+    split = [([t], s) for t in ("left", "right") for s in ("law", "food") for _ in range(2)]  # neither word tells, both do
+    rules = subjects.mine_rules(spark.createDataFrame(common + rare + split, "terms array<string>, subject string"))
+    got = {tuple(r.terms): (r.subject, r.hits, r.seen) for r in rules.collect()}
+    assert got[("mossa",)] == ("moss", 4, 4) and got[("left", "right")] == ("moss", 4, 4)
+
+
 @pytest.mark.parametrize("text, n", [("One two. Three!", 2), ("Rosa alba var. minor grows.", 1), (None, 0), ("  ", 0)])
 def test_sentences(text, n):
     assert len(subjects.sentences(text)) == n
