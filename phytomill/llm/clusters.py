@@ -9,12 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phytomill.llm import knn
 from phytomill.llm import vectors as V
 from phytomill.llm.topn import top_n_per_group
 from phytomill.runtime import lookup_join, materialize
 
-#: Vectors compared with each other at once; rows of one range of keys; centres that are broadcast.
+#: Vectors compared with each other at once; rows of one range of keys; centres broadcast at once.
 BLOCK, RANGE_ROWS, CENTRES = 2048, 16_384, 8192
 #: Copies of one vector beyond which they weigh as one row.
 COPIES = 32
@@ -85,13 +84,18 @@ def _merge(points: DataFrame, n: int, dims: int, near: float, seed: int) -> Data
 
 
 def _assign(vectors: DataFrame, centres: DataFrame, count: int, dims: int) -> DataFrame:
-    """(id, vec, w, centre, cos): each vector with its most similar centre (null where there is none)."""
+    """(id, vec, w, centre, cos): each vector with its most similar centre, compared with all of them, CENTRES or so a pass."""
     spark = vectors.sparkSession
-    if count <= CENTRES:
-        table = centres.select("centre", "cvec").toArrow()  # at most CENTRES rows
+    blocks = -(-count // CENTRES)
+    out = vectors.select("id", "vec", "w", F.lit(None).cast("bigint").alias("centre"), F.lit(-2.0).alias("cos"))
+    for block in range(blocks):
+        part = centres.filter(F.pmod(F.xxhash64(F.lit("block"), "centre"), F.lit(blocks)) == block) if blocks > 1 else centres
+        table = part.select("centre", "cvec").toArrow()  # about CENTRES rows
+        if not table.num_rows:
+            continue
         sent = spark.sparkContext.broadcast((table.column(0).to_numpy(), V.unpacked(table.column(1), dims).astype(np.float32)))
 
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, matrix = sent.value
             for b in batches:
                 rows = V.unit(V.unpacked(b.column(1), dims)).astype(np.float32) if b.num_rows else np.zeros((0, dims), np.float32)
@@ -100,21 +104,15 @@ def _assign(vectors: DataFrame, centres: DataFrame, count: int, dims: int) -> Da
                     s = rows[a : a + 1024] @ matrix.T
                     at[a : a + 1024] = s.argmax(axis=1)
                     cos[a : a + 1024] = s.max(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[at]), pa.array(cos.astype(np.float64))], names=["id", "vec", "w", "centre", "cos"])
-
-        return vectors.select("id", "vec", "w").mapInArrow(best, "id bigint, vec binary, w double, centre bigint, cos double")
-
-    def floats(df: DataFrame, id_: str, vec: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                flat = V.unpacked(b.column(1), dims)
-                offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * dims)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], names=[id_, "embedding"])
-
-        return df.select(id_, vec).mapInArrow(run, f"{id_} bigint, embedding array<float>")
-
-    hits = knn.nearest(floats(vectors, "id", "vec"), floats(centres, "centre", "cvec"), 1, "id", "centre", dims=dims, places=9)
-    return vectors.join(hits.select("id", "centre", F.col("similarity").alias("cos")), "id", "left").select("id", "vec", "w", "centre", "cos")
+                before = b.column(4).to_numpy()
+                closer = cos > before
+                known = b.column(3).fill_null(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.where(closer, names[at], known)), pa.array(np.where(closer, cos, before).astype(np.float64))], names=["id", "vec", "w", "centre", "cos"])
+
+        out = out.mapInArrow(best, "id bigint, vec binary, w double, centre bigint, cos double")
+        if block < blocks - 1:
+            out = materialize(out, "closest")
+    return out
 
 
 def _means(assigned: DataFrame, dims: int, least: float) -> DataFrame:

@@ -168,6 +168,20 @@ def test_clusters(spark):
     assert clusters.cluster(df.limit(0), "id", dims=32).count() == 0
 
 
+def test_clusters_compare_with_every_centre(spark):
+    rng = np.random.default_rng(8)
+    n = clusters.CENTRES + 1500
+    c = rng.normal(size=(n, 64)).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1)[:, None]
+    own = np.repeat(np.arange(n), 2)
+    x = c[own] * 0.84 + rng.normal(size=(2 * n, 64)).astype(np.float32) / 8 * 0.54
+    centres = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(c)], "centre bigint, cvec binary")
+    rows = spark.createDataFrame([(k, bytearray(r.astype(np.float32).tobytes()), 1.0) for k, r in enumerate(x)], "id bigint, vec binary, w double")
+    got = {r.id: r.centre for r in clusters._assign(rows, centres, n, 64).select("id", "centre").collect()}
+    want = np.concatenate([(x[a : a + 2048] @ c.T).argmax(axis=1) for a in range(0, len(x), 2048)])
+    assert [got.get(k) for k in range(len(x))] == want.tolist()
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(400)]
