@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phytomill.runtime import lookup_join
@@ -36,7 +36,12 @@ def _mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 
 def _median(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(column).alias("_support"), F.percentile_approx(column, 0.5, 10_000).alias("_value"))
+    # the lower median is the first value up to which half of the rows lie; only counts per value are ordered
+    counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counts = counts.withColumns({"_upto": upto, "_support": F.sum("_n").over(group)})
+    return counts.filter(F.col("_upto") * 2 >= F.col("_support")).groupBy(*keys).agg(F.max("_support").alias("_support"), F.min(column).alias("_value"))
 
 
 def group_fill(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
@@ -44,7 +49,7 @@ def group_fill(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
 
     Adds `<column>_filled` (BOOLEAN) and `<column>_level` (INT: 0 the finest level, null where nothing was filled).
     Defined cases: a null in a level's keys excludes the row from that level; a group whose top values tie has no mode
-    and the next level is tried; a median is the lower one and, beyond 10,000 distinct values, within 1/10,000 of the rank;
+    and the next level is tried; a median is the lower one, exact at every size;
     rows repeat as often as they came; input columns with an added column's name are replaced; an empty table gives an empty table. Statistics come from the values given, never
     from filled ones. Blank strings are values here: turn them to null first.
     """

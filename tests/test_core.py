@@ -191,3 +191,12 @@ def test_service_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
     score_stream(stream, index.select("vec_id", "embedding"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().vec_id == 1
+
+
+def test_median_is_exact_beyond_ten_thousand_values(spark):
+    rng = np.random.default_rng(9)
+    values = sorted({int(v) for v in rng.exponential(1e7, size=200_001)})
+    df = spark.createDataFrame([("a", v) for v in values[::-1]], "s string, n bigint")
+    df = df.repartition(5).union(spark.createDataFrame([("a", None)], "s string, n bigint"))
+    got = impute.group_fill(df, [impute.Target("n", [["s"]], kind="median")])
+    assert got.filter("n_filled").first().n == values[(len(values) - 1) // 2]
