@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phytomill.functions.arrays import matrix, unit
 from phytomill.runtime import lookup_join, materialize
 
-#: Rows, lowest by hash, on which projections and the spread of keys are fitted. All rows are then indexed.
-FIT_ROWS = 32_768
+#: Rows, lowest by hash, on which projections and the spread of keys are fitted, and ranges fitted anew. All rows are then indexed.
+FIT_ROWS, RANGES = 16_384, 16
 
 
 def usable(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,15 +45,20 @@ def unpacked(column: pa.Array, dims: int, dtype=np.float32) -> np.ndarray:
 
 
 def usable_vectors(df: DataFrame, id_: str, column: str, dims: int, name: str = "vectors") -> DataFrame:
-    """A written table (id BIGINT, vec BINARY of float32, h BIGINT hash of vec) of the rows with an id and a usable vector."""
+    """A written table (id BIGINT, vec BINARY of float32, h BIGINT) of the rows with an id and a usable vector.
+
+    h is a hash of the direction to 6 decimals: vectors that agree in it count as copies of one, whatever their lengths.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good, rows = usable(b.column(1), dims)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), packed(rows)], names=["id", "vec"])
+            course = packed(np.rint(unit(rows) * 1e6).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(good)), packed(rows), course], names=["id", "vec", "course"])
 
     rows = df.filter(F.col(id_).isNotNull() & (F.size(column) == dims)).select(F.col(id_).cast("bigint").alias("id"), F.col(column).cast("array<float>").alias("v"))
-    return materialize(rows.mapInArrow(read, "id bigint, vec binary").withColumn("h", F.xxhash64("vec")), name)
+    read_ = rows.mapInArrow(read, "id bigint, vec binary, course binary")
+    return materialize(read_.select("id", "vec", F.xxhash64("course").alias("h")), name)
 
 
 def without_surplus_copies(vectors: DataFrame, most: int) -> DataFrame:
@@ -61,8 +66,6 @@ def without_surplus_copies(vectors: DataFrame, most: int) -> DataFrame:
     hot = materialize(vectors.groupBy("h").count().filter(F.col("count") > most).select("h", F.lit(True).alias("hot")), "hot")
     if hot.isEmpty():
         return vectors
-    from pyspark.sql import Window
-
     order = F.row_number().over(Window.partitionBy("h").orderBy("id"))
     repeated = lookup_join(vectors.select("h", "id"), hot.select("h"), ["h"], "inner")
     kept = materialize(repeated.withColumn("r", order).filter(F.col("r") <= most).select("h", "id", F.lit(True).alias("kept")), "kept")  # cut to `most` a task before the shuffle
@@ -94,39 +97,63 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-class Curves:
-    """Hilbert orderings of shifted, rotated projections, with the spread of keys seen in a sample of `n` rows' vectors."""
+class _Order:
+    """One Hilbert ordering: rotated axes of the widest spread of `sample`, each cut into cells that hold equally many sample rows."""
+
+    def __init__(self, sample: np.ndarray, rng: np.random.Generator, span: int, dims: int, bits: int):
+        self.bits = bits
+        span = min(span, sample.shape[1])
+        dims = min(dims, span)
+        centred = sample - sample.mean(axis=0)
+        axes = np.linalg.eigh(centred.T @ centred / len(centred) + 1e-12 * np.eye(sample.shape[1]))[1]
+        self.axes = axes[:, ::-1][:, :span] @ np.linalg.qr(rng.normal(size=(span, span)))[0][:, :dims]
+        at = sample @ self.axes
+        levels = (np.arange(1, 1 << bits) + rng.uniform(-0.5, 0.5, size=(dims, 1))) / (1 << bits)  # each axis' grid is shifted
+        self.edges = [np.quantile(at[:, d], levels[d]) for d in range(dims)]
+
+    def key(self, rows: np.ndarray) -> np.ndarray:
+        at = rows @ self.axes
+        cells = [np.searchsorted(e, at[:, d], side="right") for d, e in enumerate(self.edges)]
+        return hilbert(np.stack(cells, axis=1).astype(np.uint32), self.bits)
+
 
-    def __init__(self, sample: np.ndarray, n: int, curves: int, seed: int, span: int = 24, dims: int = 12, bits: int = 5):
+class Curve:
+    """A Hilbert ordering of projected vectors whose ranges are ordered once more, each on its own projection.
+
+    Cells follow the spread of the sample, so a dense region gets as many of them as its rows; what the first ordering leaves
+    close together the second tells apart on axes fitted there.
+    """
+
+    def __init__(self, sample: np.ndarray, seed: int, span: int = 24, dims: int = 6, bits: int = 6):
         rng = np.random.default_rng(seed)
-        self.n, self.bits, self.curves = max(n, 1), bits, curves
-        full = sample.shape[1]
-        span, dims = min(span, full), min(dims, full)
-        center = sample.mean(axis=0)
-        values, axes = np.linalg.eigh(np.cov((sample - center).T) + 1e-12 * np.eye(full))
-        top = axes[:, ::-1][:, :span]
-        self.axes, self.low, self.step, self.keys = [], [], [], []
-        for _ in range(curves):
-            turn = np.linalg.qr(rng.normal(size=(span, span)))[0][:, :dims]
-            axes = top @ turn
-            at = sample @ axes
-            low, high = at.min(axis=0), at.max(axis=0)
-            wide = np.maximum(high - low, 1e-9) * 1.25
-            self.axes.append(axes)
-            self.low.append(low - wide * rng.random(dims) * 0.2)  # each curve's grid is shifted
-            self.step.append(wide / (1 << bits))
-            self.keys.append(np.sort(self._key(sample, len(self.axes) - 1)))
-
-    def _key(self, rows: np.ndarray, c: int) -> np.ndarray:
-        cells = np.floor((rows @ self.axes[c] - self.low[c]) / self.step[c])
-        return hilbert(np.clip(cells, 0, (1 << self.bits) - 1).astype(np.uint32), self.bits)
-
-    def place(self, rows: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
-        """Each row's key on curve c and about how many of the n rows come before it."""
-        key = self._key(rows, c)
-        known = self.keys[c]
-        rank = (np.searchsorted(known, key, "left") + np.searchsorted(known, key, "right")) / 2
-        return key, rank * (self.n / len(known))
+        self.first = _Order(sample, rng, span, dims, bits)
+        key = self.first.key(sample)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        ranges = max(1, min(RANGES, len(key) // 128))
+        self.cuts = np.unique(key[np.arange(1, ranges) * len(key) // ranges])
+        part = np.searchsorted(self.cuts, key, side="right")
+        self.own, self.keys, self.start = [], [], []
+        for r in range(len(self.cuts) + 1):
+            rows = sample[order[part == r]]
+            own = _Order(rows, rng, span, dims, bits) if len(rows) > 1 else None
+            self.own.append(own)
+            self.keys.append(np.sort(own.key(rows)) if own else np.zeros(len(rows), dtype=np.int64))
+            self.start.append(int(np.searchsorted(part, r)))
+        self.rows, self.bits = len(sample), dims * bits
+
+    def place(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's position, and the shares of the sample before it and before or equal to it."""
+        part = np.searchsorted(self.cuts, self.first.key(rows), side="right")
+        key = np.zeros(len(rows), dtype=np.int64)
+        before, upto = np.zeros(len(rows)), np.zeros(len(rows))
+        for r in np.unique(part):
+            at = np.nonzero(part == r)[0]
+            if self.own[r]:
+                key[at] = self.own[r].key(rows[at])
+            before[at] = self.start[r] + np.searchsorted(self.keys[r], key[at], "left")
+            upto[at] = self.start[r] + np.searchsorted(self.keys[r], key[at], "right")
+        return (part.astype(np.int64) << self.bits) | key, before / self.rows, upto / self.rows
 
 
 def fit_sample(vectors: DataFrame, n: int, dims: int, rows: int = FIT_ROWS) -> np.ndarray:
@@ -136,9 +163,3 @@ def fit_sample(vectors: DataFrame, n: int, dims: int, rows: int = FIT_ROWS) -> n
     if table is None or not table.num_rows:
         table = vectors.select("vec").limit(rows).toArrow()
     return unit(unpacked(table.column(0), dims))
-
-
-def quantized(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signed bytes and a factor a row."""
-    factor = (np.abs(rows).max(axis=1) / 127).astype(np.float32)
-    return np.rint(rows / factor[:, None]).astype(np.int8), factor
