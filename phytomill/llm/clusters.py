@@ -10,197 +10,192 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phytomill.llm import vectors as V
+from phytomill.llm.knn import best_hits, window_hits
 from phytomill.llm.topn import top_n_per_group
 from phytomill.runtime import lookup_join, materialize
 
-#: Vectors compared with each other at once; rows of one range of keys; centres broadcast at once.
-BLOCK, RANGE_ROWS, CENTRES = 2048, 16_384, 8192
-#: Copies of one vector beyond which they weigh as one row.
-COPIES = 32
+#: Rows of vectors up to which a side of a join is broadcast; rounds after which means count as settled.
+CENTRE_ROWS, ROUNDS = 20_000, 20
 
 
-def density_peaks(rows: np.ndarray, weight: np.ndarray, near: float) -> np.ndarray:
-    """Each row's peak: follow, from row to row, the most similar denser row no farther than `near`.
+def neighbours(points: DataFrame, n: int, k: int, near: float, dims: int, curves: int, window: int, seed: int) -> DataFrame:
+    """A written table (qid, iid, s): each point's k nearest of cosine `near` or more, by windows of Hilbert orderings."""
+    hits = window_hits(points, None, n, n, k, dims, curves, max(window, round(n ** (2 / 3)) // 4), True, 6, True, seed)
+    return materialize(best_hits(hits.filter(F.col("s") >= near), k), "neighbours")
 
-    Density is the weight of the rows of at least that cosine, itself included; equal densities: the earlier row is denser.
+
+def density(lists: DataFrame, points: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """(id, rho): a point's own weight plus the summed weight x cosine of its listed neighbours, in millionths.
+
+    heavy: (id, w) of the points that don't weigh 1; null: all weigh 1.
     """
-    similar = rows @ rows.T
-    close = similar >= near
-    np.fill_diagonal(close, True)
-    density = close @ weight
-    rank = np.empty(len(rows), dtype=np.int64)
-    rank[np.lexsort((np.arange(len(rows)), -density))] = np.arange(len(rows))
-    similar[~close | (rank[None, :] >= rank[:, None])] = -2
-    target = similar.argmax(axis=1)
-    target = np.where(similar[np.arange(len(rows)), target] > -2, target, np.arange(len(rows)))
+    rated = lists.select("qid", "iid", F.round(F.col("s") * 1_000_000).cast("bigint").alias("r"))
+    if heavy is not None:
+        rated = lookup_join(rated, heavy.select(F.col("id").alias("iid"), "w"), ["iid"])
+        rated = rated.withColumn("r", F.col("r") * F.coalesce("w", F.lit(1)))
+    around = rated.groupBy("qid").agg(F.sum("r").alias("r")).withColumnRenamed("qid", "id")
+    return points.select("id", "w").join(around, "id", "left").select("id", (F.col("w") * 1_000_000 + F.coalesce("r", F.lit(0))).alias("rho"))
+
+
+def denser_pointers(lists: DataFrame, rho: DataFrame) -> DataFrame:
+    """(id, parent): each point with the most similar denser one on its list; equal densities: the smaller id is denser."""
+    pairs = lookup_join(lists, rho.select(F.col("id").alias("qid"), F.col("rho").alias("q")), ["qid"], "inner")
+    pairs = lookup_join(pairs, rho.select(F.col("id").alias("iid"), F.col("rho").alias("i")), ["iid"], "inner")
+    denser = pairs.filter("i > q or (i = q and iid < qid)")
+    return denser.groupBy(F.col("qid").alias("id")).agg(F.max_by("iid", F.struct("s", -F.col("iid"))).alias("parent"))
+
+
+def follow(parents: DataFrame) -> DataFrame:
+    """(id, peak) from (id, parent), where a peak is its own parent: pointers are doubled until none changes."""
+    at = materialize(parents.select("id", F.col("parent").alias("peak")), "pointers")
     while True:
-        further = target[target]
-        if (further == target).all():
-            return target
-        target = further
+        hop = at.select(F.col("id").alias("peak"), F.col("peak").alias("next"))
+        moved = materialize(lookup_join(at, hop, ["peak"], "inner").select("id", F.col("next").alias("peak"), (F.col("next") != F.col("peak")).alias("moved")), "pointers")
+        at = moved.select("id", "peak")
+        if moved.filter("moved").isEmpty():
+            return at
+
+
+def peaks(points: DataFrame, rho: DataFrame, lists: DataFrame, k: int, near: float, dims: int, curves: int, window: int, seed: int) -> DataFrame:
+    """(id, peak) of every point: follow pointers to the most similar denser point of cosine `near` or more, up to a peak.
 
+    Points with no denser one on their list are looked up again among themselves, which brings their nearest denser one
+    within reach if there is one that near, until none finds any: those left are the peaks.
+    """
+    found = materialize(denser_pointers(lists, rho), "denser")
+    edges, open_ = found, materialize(rho.join(found, "id", "left_anti"), "open")
+    left = open_.count()
+    while left > 1:
+        vectors = materialize(lookup_join(points.select("id", "vec"), open_, ["id"], "inner"), "open-vectors")
+        seed += 100
+        found = materialize(denser_pointers(neighbours(vectors, left, k, near, dims, curves, window, seed), open_), "denser")
+        fewer = left - found.count()
+        if fewer == left:
+            break
+        edges, left = edges.union(found), fewer
+        open_ = materialize(lookup_join(open_, found.select("id"), ["id"], "left_anti"), "open")
+    return follow(edges.union(open_.select("id", F.col("id").alias("parent"))))
 
-def _merge(points: DataFrame, n: int, dims: int, near: float, seed: int) -> DataFrame:
-    """One round: `points` (id, vec unit float32, w) become the peaks of blocks along one Hilbert ordering, with summed vectors."""
-    parts = -(-n // RANGE_ROWS)
-    plan = points.sparkSession.sparkContext.broadcast(V.Curves(V.fit_sample(points, n, dims), n, 1, seed))
-    record = np.dtype([("key", "<i8"), ("id", "<i8"), ("w", "<f8"), ("vec", "<f2", (dims,))])
 
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cosines(rows: DataFrame, dims: int) -> DataFrame:
+    """(id, vec, w, centre, cos) from (id, vec, w, centre, cvec): cos is null where cvec is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            rows = V.unit(V.unpacked(b.column(1), dims))
-            key, rank = plan.value.place(rows, 0)
-            block = np.zeros(len(rows), dtype=record)
-            block["key"], block["id"], block["w"], block["vec"] = key, b.column(0).to_numpy(), b.column(2).to_numpy(), rows
-            part = np.clip(rank // (n / parts), 0, parts - 1).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.concatenate([[0], np.nonzero(np.diff(part[order]))[0] + 1, [len(part)]])
-            spans = list(zip(edges[:-1], edges[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[order[a]]) for a, _ in spans], pa.int64()), pa.array([block[order[a:z]].tobytes() for a, z in spans], pa.binary())], names=["g", "block"])
-
-    def peaks(table: pa.Table) -> pa.Table:
-        own = np.frombuffer(b"".join(table.column("block").to_pylist()), dtype=record)
-        own = own[np.lexsort((own["id"], own["key"]))]
-        ids, sums, weights = [], [], []
-        blocks = max(1, round(len(own) / BLOCK))
-        for part in np.array_split(own, blocks):
-            rows = part["vec"].astype(np.float32)
-            peak = density_peaks(rows, part["w"].astype(np.float32), near)
-            which, slot = np.unique(peak, return_inverse=True)
-            total = np.zeros((len(which), dims))
-            np.add.at(total, slot, part["vec"].astype(np.float64) * part["w"][:, None])
-            ids.append(part["id"][which])
-            sums.append(total)
-            weights.append(np.bincount(slot, part["w"], len(which)))
-        total = np.concatenate(sums)
-        zero = ~total.any(axis=1)
-        total[zero] = 1.0  # opposite vectors that cancel out
-        return pa.table({"id": np.concatenate(ids), "vec": V.packed(V.unit(total).astype(np.float32)), "w": np.concatenate(weights)})
-
-    groups = points.select("id", "vec", "w").mapInArrow(scatter, "g bigint, block binary").groupBy("g")
-    return materialize(groups.applyInArrow(peaks, "id bigint, vec binary, w double"), "peaks")
-
-
-def _assign(vectors: DataFrame, centres: DataFrame, count: int, dims: int) -> DataFrame:
-    """(id, vec, w, centre, cos): each vector with its most similar centre, compared with all of them, CENTRES or so a pass."""
-    spark = vectors.sparkSession
-    blocks = -(-count // CENTRES)
-    out = vectors.select("id", "vec", "w", F.lit(None).cast("bigint").alias("centre"), F.lit(-2.0).alias("cos"))
-    for block in range(blocks):
-        part = centres.filter(F.pmod(F.xxhash64(F.lit("block"), "centre"), F.lit(blocks)) == block) if blocks > 1 else centres
-        table = part.select("centre", "cvec").toArrow()  # about CENTRES rows
-        if not table.num_rows:
-            continue
-        sent = spark.sparkContext.broadcast((table.column(0).to_numpy(), V.unpacked(table.column(1), dims).astype(np.float32)))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, matrix = sent.value
-            for b in batches:
-                rows = V.unit(V.unpacked(b.column(1), dims)).astype(np.float32) if b.num_rows else np.zeros((0, dims), np.float32)
-                at, cos = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows), dtype=np.float32)
-                for a in range(0, len(rows), 1024):
-                    s = rows[a : a + 1024] @ matrix.T
-                    at[a : a + 1024] = s.argmax(axis=1)
-                    cos[a : a + 1024] = s.max(axis=1)
-                before = b.column(4).to_numpy()
-                closer = cos > before
-                known = b.column(3).fill_null(0).to_numpy()
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.where(closer, names[at], known)), pa.array(np.where(closer, cos, before).astype(np.float64))], names=["id", "vec", "w", "centre", "cos"])
-
-        out = out.mapInArrow(best, "id bigint, vec binary, w double, centre bigint, cos double")
-        if block < blocks - 1:
-            out = materialize(out, "closest")
-    return out
-
-
-def _means(assigned: DataFrame, dims: int, least: float) -> DataFrame:
-    """(centre, cvec, w): mean directions of the vectors within `least` of their centre."""
+            there = np.nonzero(b.column(4).is_valid().to_numpy(zero_copy_only=False))[0]
+            cos = np.full(b.num_rows, np.nan)
+            if len(there):
+                at = pa.array(there)
+                cos[there] = (V.unit(V.unpacked(b.column(1).take(at), dims)) * V.unpacked(b.column(4).take(at), dims, np.float64)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cos, from_pandas=True)], names=["id", "vec", "w", "centre", "cos"])
+
+    return rows.select("id", "vec", "w", "centre", "cvec").mapInArrow(run, "id bigint, vec binary, w bigint, centre bigint, cos double")
+
+
+def means(members: DataFrame, dims: int) -> DataFrame:
+    """A written table (centre, cvec BINARY of float64, w): mean directions of (vec, w, centre); summed a batch before the shuffle."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # a centre has one row a batch
+        for b in batches:
             which, slot = np.unique(b.column(1).to_numpy(), return_inverse=True)
-            rows, w = (V.unit(V.unpacked(b.column(0), dims)) if b.num_rows else np.zeros((0, dims))), b.column(2).to_numpy()
-            total = np.zeros((len(which), dims))
-            np.add.at(total, slot, rows * w[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(list(total), pa.list_(pa.float64())), pa.array(np.bincount(slot, w, len(which)))], names=["centre", "s", "w"])
-
-    sums = assigned.filter(F.col("cos") >= least).select("vec", "centre", "w").mapInArrow(partial, "centre bigint, s array<double>, w double")
+            w = b.column(2).to_numpy()
+            rows = V.unit(V.unpacked(b.column(0), dims)) * w[:, None]
+            order = np.argsort(slot, kind="stable")
+            first = np.searchsorted(slot[order], np.arange(len(which)))
+            total = np.rint(np.add.reduceat(rows[order], first) * 1e9).astype(np.int64) if len(rows) else np.zeros((0, dims), np.int64)  # whole numbers add up the same in any order
+            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(list(total), pa.list_(pa.int64())), pa.array(np.bincount(slot, w, len(which)).astype(np.int64))], names=["centre", "s", "w"])
+
+    sums = members.select("vec", "centre", "w").mapInArrow(partial, "centre bigint, s array<bigint>, w bigint")
     total = sums.groupBy("centre").agg(F.array(*[F.sum(F.col("s")[k]) for k in range(dims)]).alias("s"), F.sum("w").alias("w"))
 
     def direction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.array(b.column(1).to_pylist(), dtype=np.float64).reshape(b.num_rows, dims)
-            rows[~rows.any(axis=1)] = 1.0
-            yield pa.RecordBatch.from_arrays([b.column(0), V.packed(V.unit(rows).astype(np.float32)), b.column(2)], names=["centre", "cvec", "w"])
+            rows[~rows.any(axis=1)] = 1.0  # opposite vectors that cancel out
+            yield pa.RecordBatch.from_arrays([b.column(0), V.packed(V.unit(rows)), b.column(2)], names=["centre", "cvec", "w"])
+
+    return materialize(total.mapInArrow(direction, "centre bigint, cvec binary, w bigint"), "means")
 
-    return total.mapInArrow(direction, "centre bigint, cvec binary, w double")
 
+def _single(centres: DataFrame, dims: int) -> DataFrame:
+    """Centres as points (id, vec BINARY of float32, w)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), V.packed(V.unpacked(b.column(1), dims, np.float64).astype(np.float32)), b.column(2)], names=["id", "vec", "w"])
 
-def _distinct_centres(centres: DataFrame, dims: int, near: float, seed: int) -> tuple[DataFrame, int]:
-    """Centres with those of nearly one direction merged: rounds of density peaks on the centres until nothing merges twice."""
-    points = materialize(centres.select(F.col("centre").alias("id"), F.col("cvec").alias("vec"), "w"), "centres")
-    n, calm = points.count(), 0
-    while n > 1 and calm < 2:
-        points = _merge(points, n, dims, near, seed)
-        seed, before, n = seed + 1, n, points.count()
-        calm = calm + 1 if n == before else 0
-        if n <= BLOCK:
-            calm += 1  # one block compared all with all
-    return points.select(F.col("id").alias("centre"), F.col("vec").alias("cvec"), "w"), n
+    return materialize(centres.select("centre", "cvec", "w").mapInArrow(run, "id bigint, vec binary, w bigint"), "centres")
 
 
 def cluster(
     df: DataFrame, id_: str, column: str = "embedding", dims: int = 64, cosine: float = 0.7, least: int = 10,
-    near: float = 0.6, rounds: int = 5,
+    near: float = 0.5, together: float = 0.8, k: int = 8, curves: int = 2, window: int = 1024, seed: int = 31,
 ) -> DataFrame:
     """(id, cluster_id, similarity): members of clusters of at least `least` vectors within `cosine` of their mean direction.
 
-    Density peaks by divide and conquer: along one Hilbert ordering of projections the vectors are cut into blocks; in a block each
-    vector gets its density (weight of vectors of cosine `near` or more) and a pointer to the nearest denser one, and the
-    pointers are followed to peaks. Peaks, with the summed vectors of those that point to them, go into the next round along
-    another ordering, `rounds` times; peaks that gathered something are then merged until nothing merges. Last, every vector
-    is put to the most similar of the peaks' mean directions, means are taken anew four times (clear
-    clusters settle after two), and a check keeps members of at least `cosine` to the last mean. cluster_id is the cluster's smallest id.
+    Density peaks: a neighbour join along `curves` Hilbert orderings lists each vector's k nearest of cosine `near` (about
+    cosine^2) or more; these give its density and its pointer to the nearest denser vector; vectors without one are joined again
+    among themselves until only peaks are left; pointers are followed to the peaks, which are the labels. Peaks of one mean
+    direction (`together` or more) are linked the same way, the heavier being denser. A check of the bound ends it, repeated until
+    nothing changes: members below `cosine` to their label's mean leave it, and vectors in no cluster of `least` join the nearest
+    mean if they reach `cosine`. cluster_id is the cluster's smallest id.
 
     Unusable vectors (null, not `dims` long, not finite, all zero) and null ids are in no cluster; repeated vectors each
-    count; more than COPIES copies of one vector travel as one weighted row. No usable vector: no rows. Ids must be unique.
+    count, but travel as one weighted row. No usable vector: no rows. Ids must be unique.
     """
     spark = df.sparkSession
-    schema = f"{id_} bigint, cluster_id bigint, similarity double"
     every = V.usable_vectors(df, id_, column, dims)
-    hot = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep")).filter(F.col("copies") > COPIES), "copies")
-    some_hot = not hot.isEmpty()
-    if some_hot:
-        rows = lookup_join(every, hot, ["h"]).filter("rep is null or rep = id")
-        vectors = materialize(rows.select("id", "vec", F.coalesce("copies", F.lit(1)).cast("double").alias("w")), "weighted")
-    else:
-        vectors = every.select("id", "vec", F.lit(1.0).alias("w"))
+    copies = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("rep")).filter("w > 1"), "copies")
+    vectors, heavy = every.select("id", "vec", F.lit(1).cast("bigint").alias("w")), None
+    if not copies.isEmpty():
+        rows = lookup_join(every, copies, ["h"]).filter("rep is null or rep = id")
+        vectors = materialize(rows.select("id", "vec", F.coalesce("w", F.lit(1)).alias("w")), "weighted")
+        heavy = copies.select(F.col("rep").alias("id"), "w")
     n = vectors.count()
     if not n:
-        return spark.createDataFrame([], schema)
-    points, left = vectors, n
-    for r in range(rounds):
-        points = _merge(points, left, dims, near, seed=100 + r)
-        left = points.count()
-        if left <= 1:
+        return spark.createDataFrame([], f"{id_} bigint, cluster_id bigint, similarity double")
+    lists = neighbours(vectors, n, k, near, dims, curves, window, seed)
+    rho = materialize(density(lists, vectors, heavy), "density")
+    label = peaks(vectors, rho, lists, k, near, dims, curves, window, seed)
+    labelled = materialize(lookup_join(vectors, label.withColumnRenamed("peak", "centre"), ["id"], "inner"), "labelled")
+
+    centres = means(labelled, dims).filter("w > 1")
+    points = _single(centres, dims)
+    count = points.count()
+    if count > 1:
+        lists = neighbours(points, count, k, together, dims, curves, window, seed + 50)
+        joined = peaks(points, points.select("id", F.col("w").alias("rho")), lists, k, together, dims, curves, window, seed + 60)
+        labelled = lookup_join(labelled, joined.select(F.col("id").alias("centre"), "peak"), ["centre"])
+        labelled = materialize(labelled.select("id", "vec", "w", F.coalesce("peak", "centre").alias("centre")), "labelled")
+        centres = means(labelled, dims).filter("w > 1")
+    before = None
+    for _ in range(ROUNDS):
+        own = materialize(_cosines(lookup_join(labelled, centres.select("centre", "cvec"), ["centre"], max_rows=CENTRE_ROWS), dims), "own")
+        members = own.filter(F.col("cos") >= cosine)
+        signs = members.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "centre"))).first()
+        if signs == before:
             break
-    centres = points.filter("w >= 2").select(F.col("id").alias("centre"), F.col("vec").alias("cvec"), "w")
-    centres, count = _distinct_centres(centres, dims, near, seed=200)
-    for r in range(4):
+        before = signs
+        points = _single(means(members, dims).filter(F.col("w") * 2 >= least), dims)
+        count = points.count()
         if not count:
-            return spark.createDataFrame([], schema)
-        means = materialize(_means(_assign(vectors, centres, count, dims), dims, cosine).filter(F.col("w") >= (1 if r < 1 else least)), "means")
-        centres, count = _distinct_centres(means, dims, 0.9, seed=300 + 10 * r)
-    if not count:
-        return spark.createDataFrame([], schema)
-    members = materialize(_assign(vectors, centres, count, dims).filter(F.col("cos") >= cosine).select("id", "w", "centre", "cos"), "members")
+            return spark.createDataFrame([], f"{id_} bigint, cluster_id bigint, similarity double")
+        # whoever is in no cluster large enough joins the most similar mean, sooner that of one large enough
+        size = points.select(F.col("id").alias("centre"), F.col("w").alias("size"))
+        own = lookup_join(own, size, ["centre"]).withColumn("held", F.coalesce((F.col("cos") >= cosine) & (F.col("size") >= least), F.lit(False)))
+        own = materialize(own.select("id", "vec", "w", "centre", "held"), "held")
+        free = own.filter("not held").select("id", "vec")
+        hits = window_hits(points, free, count, free.count(), 3, dims, curves + 2, max(4 * window, round(count ** (2 / 3))), False, 6, False, seed + 70)
+        hits = lookup_join(best_hits(hits, 3).filter(F.col("s") >= cosine - 1e-5), size.withColumnRenamed("centre", "iid"), ["iid"], "inner")
+        hits = hits.groupBy(F.col("qid").alias("id")).agg(F.max_by("iid", F.struct(F.col("size") >= least, "s", -F.col("iid"))).alias("joins"))
+        labelled = lookup_join(own, materialize(hits, "nearest-mean"), ["id"])
+        labelled = materialize(labelled.select("id", "vec", "w", F.when(F.col("held"), F.col("centre")).otherwise(F.col("joins")).alias("centre")), "labelled")
+        centres = means(labelled.filter("centre is not null"), dims)
     sizes = materialize(members.groupBy("centre").agg(F.sum("w").alias("size"), F.min("id").alias("cluster_id")).filter(F.col("size") >= least).select("centre", "cluster_id"), "sizes")
-    out = lookup_join(members, sizes, ["centre"], "inner").select("id", "cluster_id", "cos")
-    if some_hot:  # copies follow their representative
-        copies = lookup_join(every.select("h", F.col("id").alias("copy")), hot, ["h"], "inner").filter("copy <> rep")
-        out = out.union(copies.select("copy", "rep").join(out.withColumnRenamed("id", "rep"), "rep").select("copy", "cluster_id", "cos"))
+    out = lookup_join(members.select("id", "centre", "cos"), sizes, ["centre"], "inner").select("id", "cluster_id", "cos")
+    if heavy is not None:  # copies follow the row that stands for them
+        others = lookup_join(every.select("h", F.col("id").alias("copy")), copies, ["h"], "inner").filter("copy <> rep")
+        out = out.union(lookup_join(others.select("copy", "rep"), out.withColumnRenamed("id", "rep"), ["rep"], "inner").select("copy", "cluster_id", "cos"))
     return out.select(F.col("id").alias(id_), "cluster_id", F.round("cos", 6).alias("similarity"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from phytomill.llm import vectors as V
 
 #: Index rows of one range of a curve, and queries one task takes of it; queries, index rows and candidate pairs multiplied at once.
-RANGE_ROWS, RANGE_QUERIES, TILE, STEP, PAIRS = 16_384, 16_384, 512, 1024, 65_536
+RANGE_ROWS, RANGE_QUERIES, TILE, STEP, PAIRS = 32_768, 16_384, 512, 1024, 65_536
 _INDEX, _QUERY = 1, 2
 
 
@@ -78,7 +78,7 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
     sample = V.fit_sample(index, n, dims)
     plan = spark.sparkContext.broadcast([V.Curve(sample, seed + c) for c in range(curves)])
     parts = max(1, min(-(-n // RANGE_ROWS), V.FIT_ROWS // 8))  # a range is known by eight sample rows or more
-    record = np.dtype([("key", "<i8"), ("id", "<i8"), ("u", "<f8"), ("role", "u1"), ("vec", "<f2" if half else "<f4", (dims,))])
+    record = np.dtype([("key", "<i8"), ("id", "<i8"), ("role", "u1"), ("vec", "<f2" if half else "<f4", (dims,))])
 
     def places_of(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(curve, rows, keys, home, first and last range of the window) of a batch (id, vec)."""
@@ -119,7 +119,7 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
                     continue
                 block = np.zeros(b.num_rows, dtype=record)
                 block["id"] = b.column(0).to_numpy(zero_copy_only=False)
-                block["u"] = _mix(block["id"])
+                u = _mix(block["id"])
                 groups, blocks = [], []
                 for c, rows, key, home, first, last in places_of(b):
                     block["key"], block["vec"] = key, rows
@@ -131,7 +131,7 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
                     if role == _INDEX:  # to every task of the range
                         row, g = spread(start[g], start[g + 1] - 1)
                     else:
-                        g = start[g] + (block["u"][row] * tasks[g]).astype(np.int64)
+                        g = start[g] + (u[row] * tasks[g]).astype(np.int64)
                     sent = block[row]
                     sent["role"] = np.where(part == home[row], role, _INDEX) if role == _INDEX | _QUERY else role
                     order = np.argsort(g, kind="stable")
@@ -145,17 +145,13 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
 
     def search(table: pa.Table) -> pa.Table:
         every = np.frombuffer(b"".join(table.column("block").to_pylist()), dtype=record)
-        every = every[np.lexsort((every["u"], every["key"]))]
+        every = every[np.lexsort((_mix(every["id"]), every["key"]))]  # of rows with one key a query sees those around its own hash
         known, asked = every[every["role"] & _INDEX > 0], every[every["role"] & _QUERY > 0]
         out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
         if len(known) and len(asked):
             own = V.unit(known["vec"])
             light = own.astype(np.float32)
-            # of rows with one key a query sees those around its own hash
-            order = np.lexsort((np.concatenate([known["u"], asked["u"]]), np.concatenate([known["key"], asked["key"]])))
-            at = np.empty(len(order), dtype=np.int64)
-            at[order] = np.cumsum(order < len(known))
-            at = at[len(known) :]
+            at = np.cumsum(every["role"] & _INDEX > 0)[every["role"] & _QUERY > 0]
             for a in range(0, len(asked), TILE):
                 part = asked[a : a + TILE]
                 best = Best(part["id"], V.unit(part["vec"]), k, same, places)
@@ -188,7 +184,7 @@ def best_hits(hits: DataFrame, k: int) -> DataFrame:
 
 def nearest(
     queries: DataFrame, index: DataFrame, k: int, query_id: str, index_id: str, column: str = "embedding", dims: int = 64,
-    curves: int = 5, window: int = 6144, same: bool = False, places: int = 5, seed: int = 5,
+    curves: int = 4, window: int = 8192, same: bool = False, places: int = 5, seed: int = 5,
 ) -> DataFrame:
     """(query_id, index_id, similarity): each usable query's k index vectors of highest cosine, rounded; equal: smaller id.
 

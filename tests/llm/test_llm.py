@@ -173,18 +173,26 @@ def test_clusters(spark):
     assert clusters.cluster(df.limit(0), "id", dims=32).count() == 0
 
 
-def test_clusters_compare_with_every_centre(spark):
+def test_density_peaks(spark):
     rng = np.random.default_rng(8)
-    n = clusters.CENTRES + 1500
-    c = rng.normal(size=(n, 64)).astype(np.float32)
-    c /= np.linalg.norm(c, axis=1)[:, None]
-    own = np.repeat(np.arange(n), 2)
-    x = c[own] * 0.84 + rng.normal(size=(2 * n, 64)).astype(np.float32) / 8 * 0.54
-    centres = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(c)], "centre bigint, cvec binary")
-    rows = spark.createDataFrame([(k, bytearray(r.astype(np.float32).tobytes()), 1.0) for k, r in enumerate(x)], "id bigint, vec binary, w double")
-    got = {r.id: r.centre for r in clusters._assign(rows, centres, n, 64).select("id", "centre").collect()}
-    want = np.concatenate([(x[a : a + 2048] @ c.T).argmax(axis=1) for a in range(0, len(x), 2048)])
-    assert [got.get(k) for k in range(len(x))] == want.tolist()
+    x = rng.normal(size=(6, 24))[rng.integers(6, size=700)] + rng.normal(size=(700, 24)) * 0.5
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    vectors = spark.createDataFrame([(k, bytearray(r.tobytes()), 1) for k, r in enumerate(x)], "id bigint, vec binary, w bigint").repartition(3)
+    lists = clusters.neighbours(vectors, 700, 5, 0.5, 24, 2, 1024, 1)
+    rho = clusters.density(lists, vectors, None)
+    got = {r.id: r.peak for r in clusters.peaks(vectors, rho, lists, 5, 0.5, 24, 2, 1024, 1).collect()}
+    sent = clusters.V.unit(clusters.V.unit(x).astype(np.float16))  # vectors travel in half precision
+    s = sent @ sent.T
+    np.fill_diagonal(s, -1)
+    own = {r.id: r.rho for r in rho.collect()}
+    kth = np.sort(s, axis=1)[:, -5:]
+    assert all(abs(own[k] - 1e6 - np.rint(kth[k][kth[k] >= 0.5] * 1e6).sum()) <= 5 for k in own)
+    d = np.array([own[k] for k in range(700)])
+    denser = (d[None, :] > d[:, None]) | ((d[None, :] == d[:, None]) & (np.arange(700)[None, :] < np.arange(700)[:, None]))
+    reach = np.where(denser & (s >= 0.5), s, -1)
+    lone = {k for k in range(700) if reach[k].max() < 0}  # no denser vector that near: the peaks
+    assert set(got.values()) == lone
+    assert sum(got[k] == got[int(reach[k].argmax())] for k in range(700) if k not in lone) > 600
 
 
 def test_leaks(spark):
