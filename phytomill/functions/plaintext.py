@@ -13,6 +13,7 @@ _TAG = re.compile(r"<(?:/?[a-zA-Z!][^<>]*|/)>")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t>]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
+_ACCENT = re.compile(f"[{''.join(c for c in map(chr, range(0x300, 0x20000)) if unicodedata.combining(c))}]+")
 
 
 def _mend(m: re.Match) -> str:
@@ -46,7 +47,7 @@ def fold(text: str) -> str:
     text = text.casefold()
     if text.isascii():
         return text
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return _ACCENT.sub("", unicodedata.normalize("NFKD", text))
 
 
 def words(text: str) -> list[str]:
