@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,8 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A lookup side is broadcast only up to this many rows; beyond it the join shuffles and AQE splits hot keys.
-BROADCAST_ROWS = 200_000
+#: A lookup side is broadcast only up to this many rows and bytes; beyond them the join shuffles and AQE splits hot keys.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+_COSTLY = re.compile(r"\b(Aggregate|Join|Window|Generate|MapInArrow|MapInPandas|FlatMapGroupsInArrow|FlatMapGroupsInPandas|Sort|Repartition\w*)\b")
 
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
@@ -45,12 +47,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a local one only where that is unset and the master local (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="phytomill-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -62,7 +66,24 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/phytomill-{uuid.uuid4().hex[:12]}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pm_path = path
+    return out
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for a query's own files; cleanup deletes it."""
+    path = f"{shared_dir(spark)}/phytomill-{uuid.uuid4().hex[:12]}-{name}"
+    _written.append((spark, path))
+    return path
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that `materialize` returned and nothing reads any more; other frames are left alone."""
+    paths = {getattr(t, "_pm_path", None) for t in tables} - {None}
+    for spark, path in [x for x in _written if x[1] in paths]:
+        _delete(spark, path)
+        _written.remove((spark, path))
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -84,8 +105,16 @@ atexit.register(cleanup)
 
 
 def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a big side with a lookup table: broadcast after counting it, else an ordinary join (AQE splits hot keys)."""
-    small = table.limit(max_rows + 1).count() <= max_rows
+    """Join a big side with a lookup table: broadcast after measuring it, else an ordinary join (AQE splits hot keys).
+
+    A table that takes more than reading and filtering is written first, so that measuring it doesn't compute it twice. Broadcast
+    are at most max_rows rows whose files, as Spark estimates the columns read, hold at most BROADCAST_BYTES.
+    """
+    plan = table._jdf.queryExecution().optimizedPlan()
+    if _COSTLY.search(plan.toString()):
+        table = materialize(table, "lookup")
+        plan = table._jdf.queryExecution().optimizedPlan()
+    small = int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES and table.limit(max_rows + 1).count() <= max_rows
     return rows.join(F.broadcast(table) if small else table, on, how)
 
 
