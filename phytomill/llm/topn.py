@@ -8,6 +8,38 @@ from pyspark.sql import functions as F
 from phytomill.runtime import lookup_join, materialize
 
 
+def _bisect(coded: DataFrame, state: DataFrame, fanout: int) -> DataFrame:
+    """A written table (g, size, lo, hi, need): the brackets left when they hold `need` rows or fewer, or one code only.
+
+    coded: (g, c); state: (g, size, lo, hi, need), the rows of a group from code lo to hi and how many of the highest are wanted.
+    """
+    kind = dict(coded.dtypes)["c"]
+    cut = (lambda x, by: f"({x}) div ({by})") if kind == "bigint" else (lambda x, by: f"floor(({x}) / ({by}))")
+    done, open_ = "size <= need or lo = hi", state
+    closed = []
+    step = Window.partitionBy("g").orderBy(F.desc("slice"))
+    while True:
+        closed.append(open_.filter(done))
+        open_ = open_.filter(f"not ({done})")
+        if open_.isEmpty():
+            break
+        inside = lookup_join(coded, open_.select("g", "lo", "hi", "need"), ["g"], "inner").filter("c between lo and hi")
+        # slices of equal width between lo and hi; for fanout 2 this is plain bisection
+        sliced = inside.withColumn("wide", F.expr(f"cast({cut('hi - lo', fanout)} + 1 as {kind})")).withColumn("slice", F.expr(cut("c - lo", "wide")))
+        counted = sliced.groupBy("g", "need", "slice").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        upto = counted.withColumn("upto", F.sum("size").over(step))  # at most `fanout` rows a group
+        hit = upto.filter("upto >= need and upto - size < need")
+        open_ = materialize(hit.select("g", "size", "lo", "hi", (F.col("need") - F.col("upto") + F.col("size")).alias("need")), "topn-state")
+    out = closed[0]
+    for part in closed[1:]:
+        out = out.union(part)
+    return materialize(out, "topn-cutoffs")
+
+
+def _brackets(coded: DataFrame, need) -> DataFrame:
+    return materialize(coded.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"), need.alias("need")), "topn-state")
+
+
 def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int, fanout: int = 32) -> DataFrame:
     """Columns (group, item, score) of each group's `n` highest scores; equal scores: smaller item first.
 
@@ -17,7 +49,8 @@ def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int, fa
 
     score and item are whole numbers. Defined cases: rows with a null group, score or item are left out; rows repeating a
     (group, item) count once, with the highest score; groups of n or fewer items are returned whole; an empty table or
-    n = 0 gives no rows; other columns are ignored. Scores and items whose ranges multiply to 10^38 or more are refused.
+    n = 0 gives no rows; other columns are ignored. Where the ranges of score and item multiply to 2^62 or more the code has
+    two parts: the cutoff is sought among scores first, then among the items of the cutoff's score.
     """
     rows = (
         df.select(F.col(group).alias("g"), F.col(score).cast("bigint").alias("s"), F.col(item).cast("bigint").alias("i"))
@@ -30,35 +63,16 @@ def top_n_per_group(df: DataFrame, group: str, score: str, item: str, n: int, fa
     low_s, high_s, low_i, high_i = rows.agg(F.min("s"), F.max("s"), F.min("i"), F.max("i")).first()
     if low_s is None or n <= 0:
         return rows.limit(0).select(*final)
-    width = high_i - low_i + 1
-    codes = (high_s - low_s + 1) * width
-    if codes >= 10**38:
-        raise OverflowError("score and item ranges too wide for one code")
-    if codes < 1 << 62:
-        code = (F.col("s") - F.lit(low_s)) * F.lit(width) + (F.lit(high_i) - F.col("i"))
-        cut = lambda x, by: F.expr(f"({x}) div ({by})")
-    else:
-        code = F.expr(f"cast((cast(s as decimal(20,0)) - {low_s}) * cast({width} as decimal(20,0)) + ({high_i} - cast(i as decimal(20,0))) as decimal(38,0))")
-        cut = lambda x, by: F.expr(f"cast(floor(({x}) / ({by})) as decimal(38,0))")
-    kind = "bigint" if codes < 1 << 62 else "decimal(38,0)"
-    coded = rows.withColumn("c", code.cast(kind))
-
-    state = coded.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    state = materialize(state.withColumn("need", F.lit(n).cast("bigint")), "topn-state")
-    cutoffs = state.filter("size <= need").select("g", "lo")
-    step = Window.partitionBy("g").orderBy(F.desc("slice"))
-    while True:
-        state = state.filter("size > need")
-        if state.isEmpty():
-            break
-        bracket = state.select("g", "lo", "hi", "need")
-        inside = lookup_join(coded, bracket, ["g"], "inner").filter("c between lo and hi")
-        # slices of equal width between lo and hi; for fanout 2 this is plain bisection
-        sliced = inside.withColumn("wide", (cut("hi - lo", fanout) + 1).cast(kind)).withColumn("slice", cut("c - lo", "wide"))
-        counted = sliced.groupBy("g", "need", "slice").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-        upto = counted.withColumn("upto", F.sum("size").over(step))  # at most `fanout` rows a group
-        hit = upto.filter("upto >= need and upto - size < need")
-        state = materialize(hit.select("g", "size", "lo", "hi", (F.col("need") - F.col("upto") + F.col("size")).alias("need")), "topn-state")
-        cutoffs = cutoffs.union(state.filter("size <= need").select("g", "lo"))
-    cutoffs = materialize(cutoffs, "topn-cutoffs")
-    return lookup_join(coded, cutoffs, ["g"], "inner").filter("c >= lo").select(*final)
+    width, need = high_i - low_i + 1, F.lit(n).cast("bigint")
+    if (high_s - low_s + 1) * width < 1 << 62:
+        coded = rows.withColumn("c", (F.col("s") - F.lit(low_s)) * F.lit(width) + (F.lit(high_i) - F.col("i")))
+        cutoffs = _bisect(coded, _brackets(coded, need), fanout)
+        return lookup_join(coded, cutoffs.select("g", "lo"), ["g"], "inner").filter("c >= lo").select(*final)
+    wide = "decimal(20,0)"  # differences of any two BIGINT
+    coded = rows.withColumn("c", F.col("s").cast(wide))
+    first = _bisect(coded, _brackets(coded, need), fanout)
+    marked = lookup_join(coded, first.select("g", "lo", (F.col("size") > F.col("need")).alias("tied"), "need"), ["g"], "inner").filter("c >= lo")
+    ties = materialize(marked.filter("tied and c = lo").select("g", "s", "i", (-F.col("i").cast(wide)).cast(wide).alias("c"), "need"), "topn-ties")
+    second = _bisect(ties.select("g", "c"), _brackets(ties, F.first("need")), fanout)
+    last = lookup_join(ties.select("g", "s", "i", "c"), second.select("g", "lo"), ["g"], "inner").filter("c >= lo")
+    return marked.filter("not tied or c > lo").select(*final).union(last.select(*final))
