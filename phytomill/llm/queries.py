@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phytomill.functions import clean
 from phytomill.llm import clusters, knn, leaks, mixing, sample, splits, subjects, topn
-from phytomill.runtime import materialize, read
+from phytomill.runtime import materialize, read, scratch
 
 SPLIT_SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 SAMPLE_SHARE = 0.2
@@ -58,9 +58,9 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, taxon, chosen_at of all rows of the taxa in the sample after the fifth delivery, drawn delivery by delivery."""
     rows = read(spark, sf_dir, "taxonomy_enriched").select("row_id", clean.whole_number(F.col("taxon_id")).alias("taxon"), "batch_no")
     first = materialize(rows.dropna(subset=["taxon"]).groupBy("taxon").agg(F.min("batch_no").alias("batch_no")), "first-batch")
-    ledger = None
+    path = scratch(spark, "ledger")  # a pipeline names a lasting folder
     for batch in range(1, 6):
-        ledger = sample.grow_ledger(first.filter(F.col("batch_no") <= batch), ledger, "taxon", SAMPLE_SHARE, batch)
+        ledger = sample.grow_ledger(first.filter(F.col("batch_no") <= batch), path, "taxon", SAMPLE_SHARE, batch)
     return rows.join(ledger.select("taxon", "chosen_at"), "taxon").select("row_id", "taxon", "chosen_at")
 
 
@@ -100,9 +100,9 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # problem 8
-def mix_plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def mix_plan(spark: SparkSession, sf_dir: str, target_size: int | str | None = None) -> tuple[DataFrame, DataFrame]:
     sized = materialize(mixing.count_tokens(read(spark, sf_dir, "documents").select("doc_id", "source", "text")), "sizes")
-    return sized, mixing.plan_mix(sized, read(spark, sf_dir, "mix_targets"))
+    return sized, mixing.plan_mix(sized, read(spark, sf_dir, "mix_targets"), target_size=target_size)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +118,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report_mix(mixing.draw_mix(sized, plan), plan)
 
 
+def p8_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the largest mix in which every source reaches its share."""
+    sized, plan = mix_plan(spark, sf_dir, "feasible")
+    return mixing.report_mix(mixing.draw_mix(sized, plan), plan)
+
+
 # problem 9
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -125,4 +131,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign_subjects(docs, model).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p5_found, p5_within, p6_found, p6_clusters, p7_found, p7_clean, p8_found, p8_mix, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p5_found, p5_within, p6_found, p6_clusters, p7_found, p7_clean, p8_found, p8_mix, p8_report, p8_feasible, p9_found)}

@@ -23,6 +23,9 @@ def test_top_n(spark):
             want |= {(g, i, -s) for s, i in own}
         assert {tuple(r) for r in topn.top_n_per_group(df, "g", "s", "i", n, fanout).collect()} == want
     assert topn.top_n_per_group(df.limit(0), "g", "s", "i", 3).count() == 0
+    far = [("a", k % 7 * (1 << 59) - (1 << 61), 1 << k) for k in range(60)] + [("b", (-1) ** k * (1 << 62), k - (1 << 62)) for k in range(9)]
+    got = {tuple(r) for r in topn.top_n_per_group(spark.createDataFrame(far, "g string, s bigint, i bigint"), "g", "s", "i", 11, 5).collect()}
+    assert got == {(g, i, s) for h in "ab" for g, s, i in sorted((r for r in far if r[0] == h), key=lambda r: (-r[1], r[2]))[:11]}
     wide = spark.createDataFrame([("a", -(1 << 61), 1), ("a", 1 << 61, 1 << 40), ("a", 7, 9)], "g string, s bigint, i bigint")
     assert {r["i"] for r in topn.top_n_per_group(wide, "g", "s", "i", 2).collect()} == {1 << 40, 9}
 
@@ -56,15 +59,19 @@ def test_components_and_splits(spark):
     assert {r.label for r in splits.propagate_labels(chain, "r", "e").collect()} == {0}
 
 
-def test_ledger(spark):
-    first = spark.range(200).select(F.col("id").alias("k"))
-    one = sample.grow_ledger(first.union(first), None, "k", 0.2, 1)
-    two = sample.grow_ledger(spark.range(500).select(F.col("id").alias("k")).repartition(5), one, "k", 0.2, 2)
-    a, b = {r.k for r in one.collect()}, {r.k for r in two.collect()}
+def test_ledger(spark, tmp_path):
+    first, later = spark.range(200).select(F.col("id").alias("k")), spark.range(500).select(F.col("id").alias("k"))
+    keys = lambda df: {r.k for r in df.collect()}
+    a = keys(sample.grow_ledger(first.union(first), f"{tmp_path}/l", "k", 0.2, 1))
+    # what another process finds is only what lies in the folder
+    b = keys(sample.grow_ledger(later.repartition(5), f"{tmp_path}/l", "k", 0.2, 2))
     assert len(a) == 40 and len(b) == 100 and a < b
-    assert {r.k for r in sample.grow_ledger(first.repartition(7), None, "k", 0.2, 1).collect()} == a
-    assert {r.k for r in sample.grow_ledger(first.limit(0), one, "k", 0.2, 2).collect()} == a
-    assert sample.grow_ledger(first.limit(0), None, "k", 0.2, 1).count() == 0
+    assert keys(sample.grow_ledger(later, f"{tmp_path}/l", "k", 0.9, 2)) == b == keys(sample.load_ledger(spark, f"{tmp_path}/l"))  # a step is drawn once
+    assert keys(sample.grow_ledger(first.limit(0), f"{tmp_path}/l", "k", 0.2, 3)) == b
+    assert keys(sample.grow_ledger(first.repartition(7), f"{tmp_path}/m", "k", 0.2, 1)) == a
+    (tmp_path / "n" / ".step-000001-dead").mkdir(parents=True)  # left by a run that died
+    assert keys(sample.grow_ledger(first, f"{tmp_path}/n", "k", 0.2, 1)) == a
+    assert keys(sample.grow_ledger(first.limit(0), f"{tmp_path}/o", "k", 0.2, 1)) == set()
 
 
 def points(spark, n=900, dims=16, seed=3):
@@ -213,7 +220,7 @@ def test_leaks(spark):
 
 
 def test_mix(spark):
-    for mean, most in ((0.5, 2), (1.7, 3), (0.01, 1)):
+    for mean, most in ((0.5, 2), (1.7, 3), (0.01, 1), (900.0, 1000)):
         assert abs(mixing.truncated_mean(mixing.rate_for(mean, most), most) - mean) < 1e-6
     docs = [(k, ["big", " BIG", "mid", "tiny"][0 if k < 1500 else 1 if k < 2000 else 2 if k < 2900 else 3], 100) for k in range(3000)] + [(5000, None, 9), (5001, "other", 100), (5002, "big", 0)]
     sized = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
@@ -226,6 +233,12 @@ def test_mix(spark):
     report = {r.source: r for r in mixing.report_mix(mix, plan).collect()}
     assert report["tiny"].drawn == 2 * 100 * 100 and report["mid"].most_copies <= 3 and report["none"].drawn == 0
     assert abs(report["Big"].drawn / report["mid"].drawn - 1) < 0.12
+    assert abs(report["mid"].share_of_aim - 0.4) < 0.05 and report["mid"].feasible_size == 100_000
+    small = mixing.plan_mix(sized, targets, target_size="feasible")
+    shares = {r.source: r.actual_share for r in mixing.report_mix(mixing.draw_mix(sized, small), small).collect()}
+    assert all(abs(shares[s] - t) < 0.05 for s, t in (("Big", 0.4), ("mid", 0.4), ("tiny", 0.2)))
+    twice = mixing.plan_mix(sized, spark.createDataFrame([("mid", 0.1, 1), (" MID", 0.2, 2)], targets.schema))
+    assert [(round(r.target_share, 9), r.max_repeats) for r in twice.collect()] == [(0.3, 2)]
     counted = mixing.count_tokens(spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "doc_id bigint, text string"))
     assert {r.doc_id: r.tokens for r in counted.collect()} == {1: 2, 2: 0, 3: 0}
     assert mixing.report_mix(mixing.draw_mix(sized.limit(0), mixing.plan_mix(sized.limit(0), targets)), plan).count() == 4
