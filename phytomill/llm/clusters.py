@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from phytomill.llm import vectors as V
 from phytomill.llm.knn import best_hits, window_hits
 from phytomill.llm.topn import top_n_per_group
-from phytomill.runtime import lookup_join, materialize
+from phytomill.runtime import lookup_join, materialize, release
 
 #: Rows of vectors up to which a side of a join is broadcast; rounds after which means count as settled.
 CENTRE_ROWS, ROUNDS = 20_000, 20
@@ -47,11 +47,12 @@ def denser_pointers(lists: DataFrame, rho: DataFrame) -> DataFrame:
 
 def follow(parents: DataFrame) -> DataFrame:
     """(id, peak) from (id, parent), where a peak is its own parent: pointers are doubled until none changes."""
-    at = materialize(parents.select("id", F.col("parent").alias("peak")), "pointers")
+    at = last = materialize(parents.select("id", F.col("parent").alias("peak")), "pointers")
     while True:
         hop = at.select(F.col("id").alias("peak"), F.col("peak").alias("next"))
         moved = materialize(lookup_join(at, hop, ["peak"], "inner").select("id", F.col("next").alias("peak"), (F.col("next") != F.col("peak")).alias("moved")), "pointers")
-        at = moved.select("id", "peak")
+        release(last)
+        at, last = moved.select("id", "peak"), moved
         if moved.filter("moved").isEmpty():
             return at
 
@@ -68,7 +69,9 @@ def peaks(points: DataFrame, rho: DataFrame, lists: DataFrame, k: int, near: flo
     while left > 1:
         vectors = materialize(lookup_join(points.select("id", "vec"), open_, ["id"], "inner"), "open-vectors")
         seed += 100
-        found = materialize(denser_pointers(neighbours(vectors, left, k, near, dims, curves, window, seed), open_), "denser")
+        again = neighbours(vectors, left, k, near, dims, curves, window, seed)
+        found = materialize(denser_pointers(again, open_), "denser")
+        release(vectors, again)
         fewer = left - found.count()
         if fewer == left:
             break
@@ -78,7 +81,7 @@ def peaks(points: DataFrame, rho: DataFrame, lists: DataFrame, k: int, near: flo
 
 
 def _cosines(rows: DataFrame, dims: int) -> DataFrame:
-    """(id, vec, w, centre, cos) from (id, vec, w, centre, cvec): cos is null where cvec is."""
+    """(id, w, centre, cos) from (id, vec, w, centre, cvec): cos is null where cvec is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,9 +90,9 @@ def _cosines(rows: DataFrame, dims: int) -> DataFrame:
             if len(there):
                 at = pa.array(there)
                 cos[there] = (V.unit(V.unpacked(b.column(1).take(at), dims)) * V.unpacked(b.column(4).take(at), dims, np.float64)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(cos, from_pandas=True)], names=["id", "vec", "w", "centre", "cos"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(cos, from_pandas=True)], names=["id", "w", "centre", "cos"])
 
-    return rows.select("id", "vec", "w", "centre", "cvec").mapInArrow(run, "id bigint, vec binary, w bigint, centre bigint, cos double")
+    return rows.select("id", "vec", "w", "centre", "cvec").mapInArrow(run, "id bigint, w bigint, centre bigint, cos double")
 
 
 def means(members: DataFrame, dims: int) -> DataFrame:
@@ -157,40 +160,43 @@ def cluster(
     lists = neighbours(vectors, n, k, near, dims, curves, window, seed)
     rho = materialize(density(lists, vectors, heavy), "density")
     label = peaks(vectors, rho, lists, k, near, dims, curves, window, seed)
-    labelled = materialize(lookup_join(vectors, label.withColumnRenamed("peak", "centre"), ["id"], "inner"), "labelled")
-
-    centres = means(labelled, dims).filter("w > 1")
-    points = _single(centres, dims)
+    release(lists, rho)
+    label = label.withColumnRenamed("peak", "centre")
+    centres = means(lookup_join(vectors, label, ["id"], "inner"), dims)
+    points = _single(centres.filter("w > 1"), dims)
     count = points.count()
     if count > 1:
         lists = neighbours(points, count, k, together, dims, curves, window, seed + 50)
         joined = peaks(points, points.select("id", F.col("w").alias("rho")), lists, k, together, dims, curves, window, seed + 60)
-        labelled = lookup_join(labelled, joined.select(F.col("id").alias("centre"), "peak"), ["centre"])
-        labelled = materialize(labelled.select("id", "vec", "w", F.coalesce("peak", "centre").alias("centre")), "labelled")
-        centres = means(labelled, dims).filter("w > 1")
+        joined = lookup_join(label, joined.select(F.col("id").alias("centre"), "peak"), ["centre"])
+        label = materialize(joined.select("id", F.coalesce("peak", "centre").alias("centre")), "labels")
+        release(lists, centres)
+        centres = means(lookup_join(vectors, label, ["id"], "inner"), dims)
     before = None
-    for _ in range(ROUNDS):
-        own = materialize(_cosines(lookup_join(labelled, centres.select("centre", "cvec"), ["centre"], max_rows=CENTRE_ROWS), dims), "own")
+    for left in range(ROUNDS, -1, -1):
+        release(points)
+        known = lookup_join(lookup_join(vectors, label, ["id"]), centres.filter("w > 1").select("centre", "cvec"), ["centre"], max_rows=CENTRE_ROWS)
+        own = materialize(_cosines(known, dims), "own")
         members = own.filter(F.col("cos") >= cosine)
         signs = members.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("id", "centre"))).first()
-        if signs == before:
+        if signs == before or not left:
             break
         before = signs
-        points = _single(means(members, dims).filter(F.col("w") * 2 >= least), dims)
+        held = materialize(members.groupBy("centre").agg(F.sum("w").alias("size")).filter(F.col("size") * 2 >= least), "held")
+        points = _single(lookup_join(centres.drop("w"), held.withColumnRenamed("size", "w"), ["centre"], "inner"), dims)
         count = points.count()
         if not count:
             return spark.createDataFrame([], f"{id_} bigint, cluster_id bigint, similarity double")
         # whoever is in no cluster large enough joins the most similar mean, sooner that of one large enough
-        size = points.select(F.col("id").alias("centre"), F.col("w").alias("size"))
-        own = lookup_join(own, size, ["centre"]).withColumn("held", F.coalesce((F.col("cos") >= cosine) & (F.col("size") >= least), F.lit(False)))
-        own = materialize(own.select("id", "vec", "w", "centre", "held"), "held")
-        free = own.filter("not held").select("id", "vec")
+        own_ = lookup_join(own, held, ["centre"]).withColumn("held", F.coalesce((F.col("cos") >= cosine) & (F.col("size") >= least), F.lit(False)))
+        free = materialize(lookup_join(vectors.select("id", "vec"), own_.filter("held").select("id"), ["id"], "left_anti"), "free")
         hits = window_hits(points, free, count, free.count(), 3, dims, curves + 2, max(4 * window, round(count ** (2 / 3))), False, 6, False, seed + 70)
-        hits = lookup_join(best_hits(hits, 3).filter(F.col("s") >= cosine - 1e-5), size.withColumnRenamed("centre", "iid"), ["iid"], "inner")
-        hits = hits.groupBy(F.col("qid").alias("id")).agg(F.max_by("iid", F.struct(F.col("size") >= least, "s", -F.col("iid"))).alias("joins"))
-        labelled = lookup_join(own, materialize(hits, "nearest-mean"), ["id"])
-        labelled = materialize(labelled.select("id", "vec", "w", F.when(F.col("held"), F.col("centre")).otherwise(F.col("joins")).alias("centre")), "labelled")
-        centres = means(labelled.filter("centre is not null"), dims)
+        hits = lookup_join(best_hits(hits, 3).filter(F.col("s") >= cosine - 1e-5), held.withColumnRenamed("centre", "iid"), ["iid"], "inner")
+        hits = materialize(hits.groupBy(F.col("qid").alias("id")).agg(F.max_by("iid", F.struct(F.col("size") >= least, "s", -F.col("iid"))).alias("joins")), "nearest-mean")
+        last = label
+        label = materialize(lookup_join(own_, hits, ["id"]).select("id", F.when(F.col("held"), F.col("centre")).otherwise(F.col("joins")).alias("centre")), "labels")
+        release(last, own, held, free, hits, centres)
+        centres = means(lookup_join(vectors, label.filter("centre is not null"), ["id"], "inner"), dims)
     sizes = materialize(members.groupBy("centre").agg(F.sum("w").alias("size"), F.min("id").alias("cluster_id")).filter(F.col("size") >= least).select("centre", "cluster_id"), "sizes")
     out = lookup_join(members.select("id", "centre", "cos"), sizes, ["centre"], "inner").select("id", "cluster_id", "cos")
     if heavy is not None:  # copies follow the row that stands for them
