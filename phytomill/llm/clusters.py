@@ -46,12 +46,13 @@ def denser_pointers(lists: DataFrame, rho: DataFrame) -> DataFrame:
 
 
 def follow(parents: DataFrame) -> DataFrame:
-    """(id, peak) from (id, parent), where a peak is its own parent: pointers are doubled until none changes."""
+    """(id, peak) from (id, parent), where a peak is its own parent: pointers are followed four times as far until none changes."""
     at = last = materialize(parents.select("id", F.col("parent").alias("peak")), "pointers")
     while True:
-        hop = at.select(F.col("id").alias("peak"), F.col("peak").alias("next"))
-        moved = materialize(lookup_join(at, hop, ["peak"], "inner").select("id", F.col("next").alias("peak"), (F.col("next") != F.col("peak")).alias("moved")), "pointers")
-        release(last)
+        hop = materialize(lookup_join(at, at.select(F.col("id").alias("peak"), F.col("peak").alias("next")), ["peak"], "inner").select("id", "next"), "pointers")
+        moved = lookup_join(hop, hop.select(F.col("id").alias("next"), F.col("next").alias("peak")), ["next"], "inner")
+        moved = materialize(moved.select("id", "peak", (F.col("next") != F.col("peak")).alias("moved")), "pointers")
+        release(last, hop)
         at, last = moved.select("id", "peak"), moved
         if moved.filter("moved").isEmpty():
             return at

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phytomill.runtime import lookup_join, materialize
+from phytomill.runtime import lookup_join, materialize, release
 
 BUCKETS = 4096
 
@@ -21,15 +21,17 @@ def propagate_labels(edges: DataFrame, record: str, entity: str) -> DataFrame:
     """
     edges = materialize(edges.select(F.col(record).alias("r"), F.col(entity).alias("e")).dropna().distinct(), "edges")
     labels = materialize(edges.select("e").distinct().withColumn("label", F.col("e")), "labels")
+    last = labels
     while True:
-        least = lookup_join(edges, labels, ["e"], "inner").groupBy("r").agg(F.min("label").alias("m"))
-        near = lookup_join(edges, materialize(least, "record-labels"), ["r"], "inner").groupBy("e").agg(F.min("m").alias("m"))
-        near = materialize(lookup_join(labels, near, ["e"], "inner"), "near")
+        least = materialize(lookup_join(edges, labels, ["e"], "inner").groupBy("r").agg(F.min("label").alias("m")), "record-labels")
+        near = materialize(lookup_join(edges, least, ["r"], "inner").groupBy("e").agg(F.min("m").alias("m")), "near")
         hop = near.select(F.col("e").alias("m"), F.col("m").alias("further"))
-        new = lookup_join(near, hop, ["m"], "left")
+        new = lookup_join(lookup_join(near, labels, ["e"], "inner"), hop, ["m"], "left")
         new = materialize(new.select("e", F.col("label").alias("old"), F.least("m", F.coalesce("further", "m")).alias("label")), "labels")
-        labels = new.drop("old")
+        release(last, least, near)
+        labels, last = new.drop("old"), new
         if new.filter("old <> label").isEmpty():
+            release(edges)
             return labels.select(F.col("e").alias(entity), "label")
 
 
