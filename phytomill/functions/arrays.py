@@ -6,16 +6,16 @@ import numpy as np
 import pyarrow as pa
 
 
-def matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    """(usable, float32 rows of the usable): those of `dims` finite numbers."""
+def matrix(column: pa.Array, dims: int, dtype: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """(usable, rows of the usable): those of `dims` finite numbers."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
     if not n:
-        return np.zeros(0, dtype=bool), np.zeros((0, dims), dtype=np.float32)
+        return np.zeros(0, dtype=bool), np.zeros((0, dims), dtype=dtype)
     offsets = column.offsets.to_numpy()
     values = column.values
-    flat = values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    flat = values.to_numpy(zero_copy_only=False).astype(dtype, copy=False)
     if values.null_count:
         flat = np.where(values.is_null().to_numpy(zero_copy_only=False), np.nan, flat)
     usable = (np.diff(offsets) == dims) & ~column.is_null().to_numpy(zero_copy_only=False)

@@ -80,8 +80,9 @@ def outcome_totals(outcomes: DataFrame) -> DataFrame:
 
 
 def failure_head(outcomes: DataFrame, key: str, n: int = 20) -> DataFrame:
-    """The first n failures by key."""
-    return outcomes.filter("downloaded = 0 and skipped = 0").orderBy(key).limit(n)
+    """The first n failures by key, with `beyond`: how many more there are."""
+    failed = outcomes.filter("downloaded = 0 and skipped = 0")
+    return failed.orderBy(key).limit(n).withColumn("beyond", F.lit(max(0, failed.count() - n)).cast("bigint"))
 
 
 def page_plan(total: int, per_page: int, spark) -> DataFrame:

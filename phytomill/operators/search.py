@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phytomill.functions.arrays import matrix, unit
+from phytomill.runtime import materialize
 
 #: Queries that are sent to the executors at once; more are answered block by block.
 QUERIES_AT_ONCE = 8192
@@ -21,46 +22,58 @@ HIGH, MEDIUM = 35, 22
 def topk(index: DataFrame, queries: DataFrame, k: int, key: str, query: str, column: str = "embedding", exclude_self: bool = False, tie_places: int = 6) -> DataFrame:
     """(query, key, sim, rank): each query's k index rows of highest cosine; equal to `tie_places`: smaller key first.
 
-    queries: (query, column). Queries are broadcast in blocks of QUERIES_AT_ONCE; each index batch is scored by one matrix
-    product and hands on only its own best k a query, so no pairs are shuffled. Null vectors, those of another length than the
-    first query's or with values that are no number are left out; zero vectors score 0. k above the index size gives all rows.
+    queries: (query, column). Queries are taken in blocks of about QUERIES_AT_ONCE, one block at a time on the driver and the
+    executors; each index batch is scored by one matrix product, a task keeps only its own best k a query, and only these are shuffled,
+    so no pairs are. Null vectors, those of another length than the first query's or with values that are no number are
+    left out; zero vectors score 0. k above the index size gives all rows.
     """
     spark = index.sparkSession
     kind = dict(index.dtypes)[key]
     qkind = dict(queries.dtypes)[query]
     source = index.select(key, column).dropna()
+    asked = queries.select(query, column).dropna()
+    asked = materialize(asked, "queries")
+    some = asked.first()
+    width, blocks = (len(some[1]), -(-asked.count() // QUERIES_AT_ONCE)) if some else (0, 1)
+    order = Window.partitionBy("q").orderBy(F.desc(F.round("s", tie_places)), "i")
     out = None
-    asked = [(r[0], r[1]) for r in queries.select(query, column).dropna().toLocalIterator()]
-    width = len(asked[0][1]) if asked else 0
-    for start in range(0, max(1, len(asked)), QUERIES_AT_ONCE):
-        part = [(q, v) for q, v in asked[start : start + QUERIES_AT_ONCE] if len(v) == width and None not in v]
-        sent = spark.sparkContext.broadcast(([q for q, _ in part], unit(np.array([v for _, v in part], dtype=np.float64).reshape(len(part), width))))
+    for block in range(blocks):
+        part = (asked.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == block) if blocks > 1 else asked).toArrow()
+        good, rows = matrix(part.column(1), width, np.float64)
+        sent = spark.sparkContext.broadcast((np.array(part.column(0).filter(pa.array(good)).to_pylist()), unit(rows)))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, queries_ = sent.value
+            held = [np.zeros(0, np.int64), np.zeros(0), None]  # query, similarity and key of the best so far
+            if not len(names):
+                return
             for b in batches:
-                good, rows = matrix(b.column(1), width)
-                if not len(rows) or not names:
+                good, rows = matrix(b.column(1), width, np.float64)
+                if not len(rows):
                     continue
                 keys = np.array(b.column(0).filter(pa.array(good)).to_pylist())
-                order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                sims = unit(rows)[order] @ queries_.T
-                tied = np.round(sims, tie_places)
-                tied[~np.isfinite(sims)] = -np.inf
+                sims = unit(rows) @ queries_.T
+                tied = np.where(np.isfinite(sims), np.round(sims, tie_places), -np.inf)
                 if exclude_self:
-                    tied[keys[:, None] == np.array(names)[None, :]] = -np.inf
-                best = np.argsort(-tied, axis=0, kind="stable")[:k]
-                at, q = np.nonzero(np.isfinite(np.take_along_axis(tied, best, axis=0)))
-                at = best[at, q]
-                hits = [pa.array(np.array(names)[q]), pa.array(keys[at]), pa.array(sims[at, q])]
-                yield pa.RecordBatch.from_arrays([h.cast(t) for h, t in zip(hits, (_arrow(qkind), b.schema.field(0).type, pa.float64()))], names=["q", "i", "s"])
-
-        part_hits = source.mapInArrow(score, f"q {qkind}, i {kind}, s double")
-        out = part_hits if out is None else out.union(part_hits)
-    order = Window.partitionBy("q").orderBy(F.desc(F.round("s", tie_places)), "i")
-    ranked = out.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query), F.col("i").alias(key), F.col("s").alias("sim"), "rank")
+                    tied[keys[:, None] == names[None, :]] = -np.inf
+                edge = np.partition(tied, len(tied) - k, axis=0)[-k] if len(tied) > k else np.full(len(names), -np.inf)
+                at, q = np.nonzero((tied >= edge) & np.isfinite(tied))
+                q, s, i = np.concatenate([held[0], q]), np.concatenate([held[1], sims[at, q]]), keys[at] if held[2] is None else np.concatenate([held[2], keys[at]])
+                best = np.lexsort((i, -np.round(s, tie_places), q))
+                q, s, i = q[best], s[best], i[best]
+                top = np.arange(len(q)) - np.searchsorted(q, q) < k
+                held = [q[top], s[top], i[top]]
+            if held[2] is not None:
+                hits = [pa.array(names[held[0]]), pa.array(held[2]), pa.array(held[1])]
+                yield pa.RecordBatch.from_arrays([h.cast(t) for h, t in zip(hits, (_arrow(qkind), _arrow(kind), pa.float64()))], names=["q", "i", "s"])
+
+        hits = source.mapInArrow(score, f"q {qkind}, i {kind}, s double")
+        ranked = hits.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+        if blocks > 1:
+            ranked = materialize(ranked, "hits")
+            sent.destroy()
+        out = ranked if out is None else out.union(ranked)
+    return out.select(F.col("q").alias(query), F.col("i").alias(key), F.col("s").alias("sim"), "rank")
 
 
 def _arrow(kind: str) -> pa.DataType:

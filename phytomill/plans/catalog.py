@@ -121,25 +121,24 @@ def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count_if(F.col("n") > 0).alias("covered"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") == 0).alias("uncovered"))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.class_scores(read(spark, sf_dir, "embeddings"), _means(spark, sf_dir), "vec_id", "label", "embedding")
+def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.class_ranks(read(spark, sf_dir, "embeddings"), _means(spark, sf_dir), "vec_id", "label", "embedding")
 
 
 def nearest_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = evaluate.ranked_classes(_scores(spark, sf_dir), "vec_id").filter("rank = 1")
-    return best.select("vec_id", F.col("class").cast("bigint").alias("predicted"), "score")
+    return _ranks(spark, sf_dir).select("vec_id", F.col("predicted").cast("bigint").alias("predicted"), "score")
 
 
 def accuracy_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.accuracy_at_k(evaluate.ranked_classes(_scores(spark, sf_dir), "vec_id"), "label")
+    return evaluate.accuracy_at_k(_ranks(spark, sf_dir))
 
 
 def macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.macro_auc(_scores(spark, sf_dir), "label")
+    return evaluate.macro_auc(evaluate.class_areas(read(spark, sf_dir, "embeddings"), _means(spark, sf_dir), "vec_id", "label", "embedding"))
 
 
 def per_class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.per_class_accuracy(evaluate.ranked_classes(_scores(spark, sf_dir), "vec_id"), "label")
+    return evaluate.per_class_accuracy(_ranks(spark, sf_dir), "label")
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +344,8 @@ def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lambda t: F.count_if(F.col("event_type") == t).cast("int")
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(own("signup").alias("downloaded"), own("error").alias("skipped"))
+    batch = F.floor(F.col("event_id") / 3).alias("batch")  # some hold neither kind of event
+    return read(spark, sf_dir, "events").groupBy(batch).agg(own("signup").alias("downloaded"), own("error").alias("skipped"))
 
 
 def outcome_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +353,7 @@ def outcome_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return acquire.failure_head(_outcomes(spark, sf_dir), "user_id").select("user_id")
+    return acquire.failure_head(_outcomes(spark, sf_dir), "batch").select("batch", "beyond")
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ COUNTS = "with c as (select c_custkey, count(o_orderkey) existing from customer
 FILES = """with f as (select regexp_extract(dir, '^[^_]*') as key, file, path from
   (select path, list_extract(string_split(path, '/'), -2) dir, list_extract(string_split(path, '/'), -1) file from test_images where path is not null)
   where regexp_matches(lower(file), '[.](jpg|jpeg|png|webp)$')) """
-OUTCOMES = "with o as (select user_id, sum((event_type = 'signup')::int) downloaded, sum((event_type = 'error')::int) skipped from events group by 1) "
+OUTCOMES = "with o as (select event_id // 3 batch, sum((event_type = 'signup')::int) downloaded, sum((event_type = 'error')::int) skipped from events group by 1) "
 CODES = "with codes as (select s_nationkey code from supplier where s_acctbal < 0), f as (select n_nationkey::bigint code, case when n_nationkey % 4 = 0 then '' else n_name end as name from nation) "
 
 
@@ -170,7 +170,7 @@ l as (select distinct taxon, file from p where file not in (select file from p w
 select taxon, file, position from (select *, row_number() over (partition by taxon order by file) position from l) where position <= 3""",
     "sample_exact": "select p_partkey from part order by substr(md5('42:' || p_partkey), 1, 15) limit (select cast(floor(count(*) * 0.8) as bigint) from part)",
     "outcome_totals": OUTCOMES + "select count(*) classes, sum(downloaded)::bigint downloaded, sum(skipped)::bigint skipped, count(*) filter (where downloaded = 0 and skipped = 0) failures from o",
-    "failure_head": OUTCOMES + "select user_id from o where downloaded = 0 and skipped = 0 order by user_id limit 20",
+    "failure_head": OUTCOMES + "select batch, greatest(count(*) over () - 20, 0) beyond from o where downloaded = 0 and skipped = 0 order by batch limit 20",
     "json_props": "select event_id, coalesce(json_extract_string(props, '$.k')::bigint, 0) k, coalesce(json_extract_string(props, '$.none_such'), '') other from events",
     "strip_and_underscore": "select p_partkey, p_name stripped, replace(p_name, ' ', '_') || '_native.html' map_file from part",
     "base64_roundtrip": "select doc_id, base64(coalesce(source, '')::blob) coded, coalesce(source, '') source from documents",

@@ -50,7 +50,7 @@ def test_tiers(spark):
     assert record.p == 75.16
 
 
-def test_topk_ties_nulls_and_size(spark):
+def test_topk_ties_nulls_and_size(spark, monkeypatch):
     schema = "k bigint, embedding array<float>"
     index = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (4, None), (5, [math.nan, 1.0]), (6, [1.0])], schema)
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "q bigint, embedding array<float>")
@@ -58,6 +58,9 @@ def test_topk_ties_nulls_and_size(spark):
     assert got == [(1, 1), (2, 3), (3, 2)]
     assert search.topk(index, asked, 1, "k", "q", exclude_self=True).first()["k"] == 3
     assert search.topk(index.limit(0), asked, 3, "k", "q").count() == 0
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 1)
+    twice = asked.withColumn("q", F.col("q") + 1000).union(asked)
+    assert sorted((r["rank"], r["k"]) for r in search.topk(index, twice, 10, "k", "q").filter("q < 1000").collect()) == got
     assert search.topk(index, asked.limit(0), 3, "k", "q").count() == 0
 
 
@@ -103,17 +106,25 @@ def test_regions(spark):
     assert "N/A" in regions.map_page("{}", "{}", "n", {"climate": None}) and regions.map_file_name("a b") == "a_b_native.html"
 
 
-def test_macro_auc(spark):
+def test_metrics(spark, monkeypatch):
     rng = np.random.default_rng(0)
-    rows = [(i, int(rng.integers(3)), c, float(round(rng.random(), 1))) for i in range(60) for c in range(3)]
-    labels = {i: l for i, l, _, _ in rows[::3]}
-    scores = spark.createDataFrame([(i, labels[i], c, s) for i, _, c, s in rows], "k bigint, label int, class int, score double")
-    aucs = []
-    for c in range(3):
-        pos = [s for i, _, d, s in rows if d == c and labels[i] == c]
-        neg = [s for i, _, d, s in rows if d == c and labels[i] != c]
-        aucs.append(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)))
-    assert evaluate.macro_auc(scores, "label").first().macro_auc == round(sum(aucs) / 3, 6)
+    means = rng.integers(-2, 3, size=(7, 4)).astype(float)
+    rows = [(k, int(rng.integers(7)), rng.integers(-2, 3, size=4).astype(float).tolist()) for k in range(300)]
+    df = spark.createDataFrame([*rows, (900, None, [0.0] * 4), (901, 3, None)], "k bigint, label int, v array<double>")
+    prototypes = spark.createDataFrame([(c, m.tolist()) for c, m in enumerate(means)], "label int, mean array<double>")
+    s = np.array([v for _, _, v in rows]) @ means.T
+    own = np.array([c for _, c, _ in rows])
+    order = np.lexsort((np.tile(np.arange(7), (300, 1)), -s), axis=1)
+    aucs = [np.mean((s[own == c, c][:, None] > s[own != c, c]) + (s[own == c, c][:, None] == s[own != c, c]) / 2) for c in range(7)]
+    for classes, positives in ((16_384, 1_000_000), (3, 40)):  # one block and several
+        monkeypatch.setattr(evaluate, "CLASSES_AT_ONCE", classes)
+        monkeypatch.setattr(evaluate, "POSITIVES_AT_ONCE", positives)
+        ranks = evaluate.class_ranks(df, prototypes, "k", "label", "v")
+        got = {r.k: (r.predicted, r.score, r["rank"]) for r in ranks.collect()}
+        assert got == {k: (order[k, 0], s[k].max(), order[k].tolist().index(own[k]) + 1) for k in range(300)}
+        assert evaluate.accuracy_at_k(ranks).first().acc3 == round(np.mean([got[k][2] <= 3 for k in got]), 6)
+        assert abs(evaluate.macro_auc(evaluate.class_areas(df, prototypes, "k", "label", "v")).first().macro_auc - np.mean(aucs)) < 2e-6
+    assert evaluate.class_ranks(df.limit(0), prototypes, "k", "label", "v").count() == 0
 
 
 def test_group_fill(spark):
