@@ -47,10 +47,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return low.join(high, "label").filter("taxon_lo < taxon_hi").select("taxon_lo", "taxon_hi")
 
 
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = materialize(splits.components(images(spark, sf_dir), "image_id", "obs", "taxon"), "components")
+    return splits.assign_groups(rows, "component", "genus", SPLIT_SHARES)
+
+
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = splits.components(images(spark, sf_dir), "image_id", "obs", "taxon")
-    rows = materialize(rows, "components")
-    return splits.assign_groups(rows, "component", "genus", SPLIT_SHARES).select("image_id", "component", "split")
+    return _split(spark, sf_dir).select("image_id", "component", "split")
+
+
+def p2_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the splits divide each genus, and all images."""
+    return splits.split_balance(_split(spark, sf_dir), "genus", SPLIT_SHARES)
 
 
 # problem 3
@@ -131,4 +139,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign_subjects(docs, model).select("doc_id", "subject")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p3_sample, p5_found, p5_within, p6_found, p6_clusters, p7_found, p7_clean, p8_found, p8_mix, p8_report, p8_feasible, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_top100, p2_found, p2_splits, p2_balance, p3_sample, p5_found, p5_within, p6_found, p6_clusters, p7_found, p7_clean, p8_found, p8_mix, p8_report, p8_feasible, p9_found)}

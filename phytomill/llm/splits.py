@@ -57,12 +57,27 @@ def components(rows: DataFrame, record_id: str, first: str, second: str) -> Data
     return out.select(*[rows[c] for c in rows.columns], F.coalesce(name, F.concat(F.lit("r"), record_id)).alias("component"))
 
 
+def _fit(aims: DataFrame, sizes: list[float], rounds: int = 12) -> list[float]:
+    """Factors of the columns of `open` with which rows that sum to `all` give columns in proportion to `sizes` (raking)."""
+    factors = [1.0] * len(sizes)
+    for _ in range(rounds):
+        weight = sum((F.col("open")[k] * f for k, f in enumerate(factors)), F.lit(0.0))
+        got = aims.agg(*[F.sum(F.col("all") * F.col("open")[k] * f / weight) for k, f in enumerate(factors)]).first()  # one row
+        if got[0] is None or not sum(got) or not sum(sizes):
+            break
+        off = [(sizes[k] / sum(sizes)) / (x / sum(got)) if x else 1.0 for k, x in enumerate(got)]
+        if max(abs(x - 1) for x in off) < 1e-3 or min(off) <= 0:
+            break
+        factors = [f * x for f, x in zip(factors, off)]
+    return factors
+
+
 def assign_groups(rows: DataFrame, group: str, label: str, shares: Mapping[str, float], seed: str = "split", heavy: int = 1000) -> DataFrame:
     """`rows` with `split`: every group whole in one split, each label's rows divided as near to `shares` as groups allow.
 
     Groups of more than 1/heavy of all rows (so fewer than `heavy`) are placed one by one, largest first, where they leave the
     least squared deviation over labels. The others are divided within their commonest label by hash, along the shares the
-    heavy ones left open; only counts per (label, hash bucket) are ordered. A null label is a label of its own; a null group
+    heavy ones left open, fitted so that the splits' whole sizes come out too; only counts per (label, hash bucket) are ordered. A null label is a label of its own; a null group
     gets a null split; an empty table gives an empty one; the same rows always get the same split.
     """
     names = list(shares)
@@ -105,19 +120,36 @@ def assign_groups(rows: DataFrame, group: str, label: str, shares: Mapping[str,
 
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col("g").cast("string")), F.lit(BUCKETS))
     light = lookup_join(groups, fixed.select("g"), ["g"], "left_anti").withColumn("b", bucket)
-    counted = light.groupBy("l", "b").agg(F.sum("n").alias("n"))  # at most BUCKETS rows a label
-    order = Window.partitionBy("l").orderBy("b")
-    counted = counted.withColumn("mid", F.sum("n").over(order) - F.col("n") / 2).withColumn("all", F.sum("n").over(Window.partitionBy("l")))
-    counted = lookup_join(counted, taken, ["l"]).withColumn("taken", F.coalesce("taken", F.array_repeat(F.lit(0.0), len(names))))
+    counted = materialize(light.groupBy("l", "b").agg(F.sum("n").alias("n")), "buckets")  # at most BUCKETS rows a label
+    aims = lookup_join(counted.groupBy("l").agg(F.sum("n").alias("all")), taken, ["l"]).withColumn("taken", F.coalesce("taken", F.array_repeat(F.lit(0.0), len(names))))
     full = F.col("all") + F.aggregate("taken", F.lit(0.0), lambda a, x: a + x)
-    open_ = [F.greatest(F.lit(0.0), F.lit(w) * full - F.col("taken")[k]) for k, w in enumerate(want)]
-    counted = counted.withColumn("open", F.array(*open_))
-    ratio = F.col("all") / F.aggregate("open", F.lit(0.0), lambda a, x: a + x)
+    aims = materialize(aims.select("l", "all", F.array(*[F.greatest(F.lit(0.0), F.lit(w) * full - F.col("taken")[k]) for k, w in enumerate(want)]).alias("open")), "aims")
+    factors = _fit(aims, [max(0.0, w * total - whole[k]) for k, w in enumerate(want)])
+    parts_ = [F.col("open")[k] * f for k, f in enumerate(factors)]
+    weight = sum(parts_, F.lit(0.0))
+    edges = materialize(aims.select("l", "all", F.array(*[sum(parts_[: k + 1], F.lit(0.0)) / weight for k in range(len(names))]).alias("edges")), "edges")
+    placed_ = counted.withColumn("mid", F.sum("n").over(Window.partitionBy("l").orderBy("b")) - F.col("n") / 2)
+    # each label begins at a place of its own, so that the remainders of small labels don't all fall to one split
+    turn = (F.pmod(F.xxhash64(F.lit(seed), F.lit("turn"), F.col("l")), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    placed_ = lookup_join(placed_, edges, ["l"]).withColumn("at", F.pmod(F.col("mid") / F.col("all") + turn, F.lit(1.0)))
     chosen = F.lit(names[-1])
     for k in range(len(names) - 2, -1, -1):
-        edge = sum((F.col("open")[j] for j in range(k + 1)), F.lit(0.0)) * ratio
-        chosen = F.when(F.col("mid") <= edge, names[k]).otherwise(chosen)
-    by_bucket = materialize(counted.select("l", "b", chosen.alias("light_split")), "buckets")
+        chosen = F.when(F.col("at") <= F.col("edges")[k], names[k]).otherwise(chosen)
+    by_bucket = materialize(placed_.select("l", "b", chosen.alias("light_split")), "buckets")
     split = lookup_join(lookup_join(groups.withColumn("b", bucket), by_bucket, ["l", "b"]), fixed, ["g"])
     split = materialize(split.select(F.col("g").alias(group), F.coalesce("heavy_split", "light_split").alias("split")), "split")
     return lookup_join(rows.drop("split"), split, [group]).select(*[c for c in rows.columns if c != "split"], "split")
+
+
+def split_balance(rows: DataFrame, label: str, shares: Mapping[str, float]) -> DataFrame:
+    """(label, split, n, share, wanted, deviation): how each label's rows, and all rows (label null), are divided.
+
+    Rows without a split are left out; a label that has no row in a split has a line with 0 there.
+    """
+    whole = sum(shares.values())
+    counts = rows.filter("split is not null").groupBy(F.coalesce(F.col(label).cast("string"), F.lit("")).alias("label")).agg(*[F.count_if(F.col("split") == s).alias(s) for s in shares])
+    counts = counts.unionByName(counts.agg(F.lit(None).cast("string").alias("label"), *[F.sum(s).alias(s) for s in shares]))
+    total = sum((F.col(s) for s in shares), F.lit(0))
+    line = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(s).alias("n"), F.lit(w / whole).alias("wanted")) for s, w in shares.items()])).alias("x")
+    out = counts.select("label", total.alias("all"), line).select("label", "x.split", "x.n", (F.col("x.n") / F.col("all")).alias("share"), "x.wanted")
+    return out.withColumn("deviation", F.col("share") - F.col("wanted"))

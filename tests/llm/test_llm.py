@@ -52,6 +52,9 @@ def test_components_and_splits(spark):
     assert all(r.n == 1 for r in parts)
     share = {r.split: r["count"] / 3000 for r in done.filter("g is not null").groupBy("split").count().collect()}
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["test"] - 0.1) < 0.03
+    tiny = spark.createDataFrame([(k, f"g{k // 2}", f"l{k // 6}") for k in range(12_000)], "id bigint, g string, l string")  # three groups a label
+    balance = splits.split_balance(splits.assign_groups(tiny, "g", "l", {"train": 0.8, "validation": 0.1, "test": 0.1}), "l", {"train": 0.8, "validation": 0.1, "test": 0.1})
+    assert all(abs(r.deviation) < 0.015 for r in balance.filter("label is null").collect()) and balance.filter("label is not null").count() == 6000
     assert done.filter("g is null").first().split is None
     assert splits.assign_groups(small.limit(0), "g", "l", {"a": 1.0}).count() == 0
     assert splits.propagate_labels(spark.createDataFrame([], "r bigint, e bigint"), "r", "e").count() == 0
