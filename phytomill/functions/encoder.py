@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from phytomill.functions import images
+
 
 class Encoder(Protocol):
     """Brings a batch to vectors; None for what can't be decoded."""
@@ -38,6 +41,41 @@ class HashEncoder:
         return [self._vector(x) for x in batch]
 
 
+class PixelEncoder:
+    """A stand-in image encoder on decoded pixels: means of a grid of the preprocessed image; None for what is no image."""
+
+    def __init__(self, grid: int = 4):
+        self.grid = grid
+
+    def encode(self, batch: Sequence[bytes]) -> list[list[float] | None]:
+        out: list[list[float] | None] = []
+        for item in batch:
+            rgb = images.decode(item)
+            if rgb is None:
+                out.append(None)
+                continue
+            cells = images.preprocess(rgb).reshape(3, self.grid, images.SIDE // self.grid, self.grid, images.SIDE // self.grid).mean(axis=(2, 4)).ravel()
+            length = float(np.linalg.norm(cells))
+            out.append((cells / length).tolist() if length else None)
+        return out
+
+
+def resolve(candidates: Sequence[str], fetch: Callable[[], str] | None = None, least: int = 1) -> str:
+    """The first file of at least `least` bytes, so no stub of one; else what `fetch` brings; FileNotFoundError without either."""
+    for path in candidates:
+        if os.path.isfile(path) and os.path.getsize(path) >= least:
+            return path
+    if fetch is None:
+        raise FileNotFoundError(f"no model at any of: {', '.join(candidates)}")
+    return fetch()
+
+
+def token_ids(text: str, encode: Callable[[str], list[int]], first: int, last: int, length: int = 77) -> list[int]:
+    """Exactly `length` token ids of lower-cased text in single spaces: first, the text's (cut off), last, then zeros."""
+    own = encode(" ".join(text.lower().split()))[: length - 2]
+    return [first, *own, last, *[0] * (length - 2 - len(own))]
+
+
 def encode_column(c: Column, make: Callable[[], Encoder] = HashEncoder, batch: int = 256) -> Column:
     """Unit vectors of a text or binary column; the encoder is made once a task; null, blank and undecodable give null."""
 

@@ -53,7 +53,7 @@ def binomial(genus: Column, epithet: Column) -> Column:
 
 
 def safe_name(c: Column) -> Column:
-    """A name fit for file systems: reserved characters become "_"."""
+    """A name fit for file systems: reserved characters (fixed values) become "_"."""
     return strip(F.regexp_replace(c, r'[\\/:*?"<>|]', "_"))
 
 
@@ -92,4 +92,4 @@ def query_url(base: str, **params: object) -> str:
     """A URL with percent-encoded parameters (spaces as %20)."""
     from urllib.parse import quote, urlencode
 
-    return base + "?" + urlencode(params, quote_via=quote)
+    return base + ("&" if "?" in base else "?") + urlencode(params, quote_via=quote)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ def read_species(spark: SparkSession, path: str, schema: str = SPECIES) -> DataF
     return require_columns(df, ["taxon_id", "scientific_name"])
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    """CSV with the given columns in order and a header, without byte-order mark."""
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], mark: bool = True) -> None:
+    """CSV with the given columns in order and a header; every file begins with a byte-order mark, or doesn't."""
+    first, *rest = columns
+    rows = df.select(F.col(first).alias(("\ufeff" if mark else "") + first), *rest)
+    rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
 def write_index(df: DataFrame, path: str) -> None:
@@ -52,10 +55,34 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def import_matrix(spark: SparkSession, vectors: np.ndarray, names: Sequence[tuple[Sequence[str], str]]) -> DataFrame:
-    """(ranks, common, embedding) from a dims x N matrix and N nested names, as precomputed exports hold them."""
-    rows = [(list(r), c, [float(x) for x in v]) for v, (r, c) in zip(np.asarray(vectors, dtype=np.float32).T, names, strict=True)]
-    return spark.createDataFrame(rows, "ranks ARRAY<STRING>, common STRING, embedding ARRAY<FLOAT>")
+def import_matrix(spark: SparkSession, path: str, names: DataFrame, at_once: int = 4096) -> DataFrame:
+    """(pos, ranks, common, embedding) from a dims x N matrix file (.npy, on a path all executors see) and names (pos, ranks, common).
+
+    Tasks map the file and read their columns only; nothing passes through the driver. Numbers of names and columns must agree.
+    """
+    n = int(np.load(path, mmap_mode="r").shape[1])
+    if names.count() != n:
+        raise ValueError("there must be as many names as columns")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = np.load(path, mmap_mode="r")
+        for b in batches:
+            for start in b.column(0).to_pylist():
+                own = np.ascontiguousarray(matrix[:, start : start + at_once].T, dtype=np.float32)
+                offsets = pa.array(np.arange(len(own) + 1) * own.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + len(own))), pa.ListArray.from_arrays(offsets, pa.array(own.ravel()))], names=["pos", "embedding"])
+
+    vectors = spark.range(0, n, at_once).mapInArrow(read, "pos bigint, embedding array<float>")
+    return names.select(F.col("pos").cast("bigint").alias("pos"), "ranks", "common").join(vectors, "pos")
+
+
+DISTRIBUTION = "id STRING, taxonRemarks STRING, lifeform STRING, climate STRING, distribution STRUCT<natives: ARRAY<STRUCT<tdwgCode: STRING>>>"
+
+
+def read_distribution(spark: SparkSession, path: str) -> DataFrame:
+    """(id, code, origin, lifeform, climate) of nested distribution records: a row a native region, one with a null code where there is none."""
+    rows = spark.read.schema(DISTRIBUTION).json(path)
+    return rows.select("id", F.explode_outer("distribution.natives.tdwgCode").alias("code"), F.col("taxonRemarks").alias("origin"), "lifeform", "climate")
 
 
 def scan_images(spark: SparkSession, root: str, known: DataFrame, key: str = "taxon_id", n: int | None = None) -> DataFrame:

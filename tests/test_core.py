@@ -161,10 +161,61 @@ def test_files(spark, tmp_path):
     assert values(files.scan_images(spark, str(tmp_path / "img"), known, n=1), "file") == ["x.JPG"]
     (tmp_path / "g.json").write_text('{"features":[{"geometry":{"type":"Polygon","coordinates":[[[1,2]]]},"properties":{"LEVEL3_COD":"A","LEVEL3_NAM":"a"}}]}')
     assert "Polygon" in files.read_features(spark, str(tmp_path / "g.json")).first().geometry
-    assert files.import_matrix(spark, np.eye(2), [(["a"], "x"), (["b"], "y")]).count() == 2
-
-
-def test_rest(monkeypatch, tmp_path):
+    np.save(tmp_path / "m.npy", np.arange(15, dtype=np.float32).reshape(3, 5))
+    names = spark.createDataFrame([(k, [str(k)], "c") for k in range(5)], "pos int, ranks array<string>, common string")
+    got = {r.pos: (r.ranks, list(r.embedding)) for r in files.import_matrix(spark, str(tmp_path / "m.npy"), names, 2).collect()}
+    assert got == {k: ([str(k)], [k, k + 5, k + 10]) for k in range(5)}
+    with pytest.raises(ValueError):
+        files.import_matrix(spark, str(tmp_path / "m.npy"), names.limit(4))
+    files.write_csv(names.select("pos", "common").coalesce(1), str(tmp_path / "c"), ["common", "pos"])
+    assert next((tmp_path / "c").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfcommon,pos")
+    (tmp_path / "d.json").write_text('{"id":"1","taxonRemarks":"o","lifeform":"tree","climate":"wet","distribution":{"natives":[{"tdwgCode":"A"},{"tdwgCode":"B"}]}}\n{"id":"2"}')
+    native = files.read_distribution(spark, str(tmp_path / "d.json"))
+    assert sorted((r.id, r.code, r.climate) for r in native.collect() if r.code) == [("1", "A", "wet"), ("1", "B", "wet")] and native.filter("id = '2' and code is null").count() == 1
+    features = spark.createDataFrame([("{}", "A", "a"), ("{}", "C", "c")], "geometry string, code string, name string")
+    plants = spark.createDataFrame([("Acer", "1"), ("Rosa", "2")], "name string, id string")
+    rows, page = regions.native_range(plants, native, features, " Acer ", str(tmp_path))
+    assert rows.count() == 1 and "tree" in page and "not native" in page and (tmp_path / "Acer_native.html").exists()
+    assert regions.native_range(plants, native, features, "Rosa") is None and regions.native_range(plants, native, features, "Abies") is None
+
+
+@pytest.fixture(scope="module")
+def api():
+    """A stub of a paged service: 25 rows, taxa by id, photos of a class, one class that fails."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from urllib.parse import parse_qs, urlsplit
+
+    class Stub(BaseHTTPRequestHandler):
+        def do_GET(self):
+            at = urlsplit(self.path)
+            q = {k: v[0] for k, v in parse_qs(at.query).items()}
+            status, body = 200, b"x" * 70_000
+            if at.path == "/rows":
+                size, page = int(q["per_page"]), int(q["page"])
+                rows = [{"n": k, "place": q.get("place")} for k in range(25)][(page - 1) * size : page * size]
+                body = json.dumps({"total_results": 25, "results": rows}).encode()
+            elif at.path.startswith("/taxa/"):
+                body = json.dumps({"results": [{"id": int(i), "rank": "genus", "name": f"n{i}", "ancestor_ids": [1, int(i)]} for i in at.path[6:].split(",") if i != "9"]}).encode()
+            elif at.path == "/obs":
+                status = 404 if q["taxon_id"] == "5" else 200
+                host = f"http://{self.headers['Host']}"
+                body = json.dumps({"results": [{"id": k, "photos": [{"id": 1, "url": f"{host}/p/{k}/square.jpg"}, {"id": 2, "url": None}]} for k in range(int(q["per_page"]))]}).encode()
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_rest(spark, api, tmp_path):
     import io
     import urllib.error
 
@@ -175,11 +226,70 @@ def test_rest(monkeypatch, tmp_path):
         raise urllib.error.HTTPError("u", 429, "busy", {}, io.BytesIO())
 
     assert rest.Retry(3, sleep=waits.append).run(busy) is None and waits == [60.0, 120.0] and len(calls) == 3
-    monkeypatch.setattr(rest, "fetch", lambda url, *a: b'{"results":[{"a":1}]}')
-    reader = rest.PagedReader({"url": "http://x", "total": "501"})
-    assert [p.value for p in reader.partitions()] == [1, 2]
-    assert list(reader.read(reader.partitions()[0])) == [(1, '{"a": 1}')]
-    assert rest.download("http://x", str(tmp_path / "f")) and (tmp_path / "f").exists()
+    reader = rest.PagedReader({"url": f"{api}/rows?a=b", "per_page": "10", "param.place": "6"})
+    assert [p.value for p in reader.partitions()] == [(1, 10), (2, 10), (3, 5)]
+    assert [r for p in reader.partitions() for r in reader.read(p)][24] == (3, '{"n": 24, "place": "6"}')
+    cut = rest.PagedReader({"url": f"{api}/rows", "per_page": "10", "most": "12"})
+    assert sum(len(list(cut.read(p))) for p in cut.partitions()) == 12
+    long = rest.PagedReader({"url": f"{api}/rows", "per_page": "10", "total": "40"})  # more announced than there is
+    assert sum(len(list(long.read(p))) for p in long.partitions()) == 25
+    spark.dataSource.register(rest.PagedSource)
+    assert spark.read.format("paged_rest").option("url", f"{api}/rows").option("per_page", "10").load().count() == 25
+    assert rest.download(f"{api}/p", str(tmp_path / "f")) and (tmp_path / "f").stat().st_size == 70_000
+    assert rest.cached_file("http://127.0.0.1:9/none", str(tmp_path / "f")) == str(tmp_path / "f")
+    ids = spark.createDataFrame([(k,) for k in range(1, 40)] + [(None,), (3,)], "t bigint")
+    taxa = rest.lookup_taxa(ids, "t", f"{api}/taxa", 30).collect()
+    assert len(taxa) == 38 and {r.id: r.ancestor_ids for r in taxa}["7"] == ["1", "7"]
+    how = rest.Photos(f"{api}/obs", str(tmp_path / "tree"))
+    classes = spark.createDataFrame([("4", "Acer: x", 3), ("5", "Rosa", 2), (None, "n", 1)], "taxon_id string, sci_name string, need int")
+    for again in (False, True):
+        got = {r.taxon_id: (r.downloaded, r.skipped) for r in rest.store_photos(classes, how).collect()}
+        assert got == {"4": (0, 3) if again else (3, 0), "5": (0, 0)}
+    assert sorted(p.name for p in (tmp_path / "tree" / "4_Acer_ x").iterdir()) == ["0_1.jpg", "1_1.jpg", "2_1.jpg"]
+
+
+def png(rgb):
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    h, w, _ = rgb.shape
+    lines, above = b"", np.zeros(w * 3, np.uint8)
+    for y in range(h):  # the five filters in turn
+        line, kind = rgb[y].ravel(), y % 5
+        left = np.concatenate([np.zeros(3, np.uint8), line[:-3]]).astype(int)
+        corner = np.concatenate([np.zeros(3, np.uint8), above[:-3]]).astype(int)
+        up = above.astype(int)
+        p = left + up - corner
+        paeth = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = (0 * left, left, up, (left + up) // 2, paeth)[kind]
+        lines += bytes([kind]) + ((line.astype(int) - guess) % 256).astype(np.uint8).tobytes()
+        above = line
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+def test_images(spark, tmp_path):
+    from phytomill.functions import encoder, images
+
+    rgb = np.random.default_rng(0).integers(0, 256, size=(11, 17, 3)).astype(np.uint8)
+    assert (images.decode(png(rgb)) == rgb).all()
+    assert images.decode(b"no image") is None and images.decode(None) is None and images.decode(png(rgb)[:50]) is None
+    flat = images.preprocess(np.full((30, 50, 3), 255, np.uint8))
+    assert flat.shape == (3, 224, 224) and np.allclose(flat[0], (1 - images.MEAN[0]) / images.DEVIATION[0], atol=1e-5)
+    (tmp_path / "a.png").write_bytes(png(rgb))
+    with pytest.raises(FileNotFoundError):
+        images.load(str(tmp_path / "none.png"))
+    make = encoder.PixelEncoder
+    index = spark.createDataFrame([(1, "Acer", make().encode([png(rgb)])[0]), (2, "Rosa", make().encode([png(255 - rgb)])[0])], "vec_id bigint, scientific_name string, embedding array<float>")
+    found = service.identify_image(index, str(tmp_path / "a.png"), "vec_id", 2)
+    assert [r["scientific_name"] for r in found] == ["Acer", "Rosa"] and found[0]["similarity"] == 1.0
+    statuses = [service.predict(i, b, "vec_id", k, make)[0] for i, b, k in ((None, png(rgb), 5), (index, b"no", 5), (index, None, 5), (index, png(rgb), 0), (index, png(rgb), 1))]
+    assert statuses == [503, 400, 400, 422, 200]
+    assert service.health_record(index)["species_count"] == 2 and service.health_record(None)["status"] == "loading"
+    assert encoder.resolve([str(tmp_path / "x"), str(tmp_path / "a.png")]) == str(tmp_path / "a.png") and encoder.resolve([], lambda: "hub") == "hub"
+    assert encoder.token_ids("A  b", lambda t: [len(t)], 1, 2, 6) == [1, 3, 2, 0, 0, 0] and len(encoder.token_ids("x", lambda t: [5] * 200, 1, 2)) == 77
 
 
 def test_service_and_stream(spark, tmp_path):
