@@ -59,10 +59,10 @@ def follow(parents: DataFrame) -> DataFrame:
 
 
 def peaks(points: DataFrame, rho: DataFrame, lists: DataFrame, k: int, near: float, dims: int, curves: int, window: int, seed: int) -> DataFrame:
-    """(id, peak) of every point: follow pointers to the most similar denser point of cosine `near` or more, up to a peak.
+    """(id, peak) of every point: follow pointers to the most similar denser point, up to a peak.
 
     Points with no denser one on their list are looked up again among themselves, which brings their nearest denser one
-    within reach if there is one that near, until none finds any: those left are the peaks.
+    within reach if there is one of cosine `near` or more, until none finds any: those left are the peaks.
     """
     found = materialize(denser_pointers(lists, rho), "denser")
     edges, open_ = found, materialize(rho.join(found, "id", "left_anti"), "open")
@@ -139,7 +139,7 @@ def cluster(
 
     Density peaks: a neighbour join along `curves` Hilbert orderings lists each vector's k nearest of cosine `near` (about
     cosine^2) or more; these give its density and its pointer to the nearest denser vector; vectors without one are joined again
-    among themselves until only peaks are left; pointers are followed to the peaks, which are the labels. Peaks of one mean
+    among themselves, at `cosine` or more, until only peaks are left, no two of which are so similar; pointers are followed to the peaks, which are the labels. Peaks of one mean
     direction (`together` or more) are linked the same way, the heavier being denser. A check of the bound ends it, repeated until
     nothing changes: members below `cosine` to their label's mean leave it, and vectors in no cluster of `least` join the nearest
     mean if they reach `cosine`. cluster_id is the cluster's smallest id.
@@ -160,7 +160,7 @@ def cluster(
         return spark.createDataFrame([], f"{id_} bigint, cluster_id bigint, similarity double")
     lists = neighbours(vectors, n, k, near, dims, curves, window, seed)
     rho = materialize(density(lists, vectors, heavy), "density")
-    label = peaks(vectors, rho, lists, k, near, dims, curves, window, seed)
+    label = peaks(vectors, rho, lists, k, max(near, cosine), dims, curves, window, seed)
     release(lists, rho)
     label = label.withColumnRenamed("peak", "centre")
     centres = means(lookup_join(vectors, label, ["id"], "inner"), dims)
