@@ -121,16 +121,16 @@ def coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count_if(F.col("n") > 0).alias("covered"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") == 0).alias("uncovered"))
 
 
-def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _class_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.class_ranks(read(spark, sf_dir, "embeddings"), _means(spark, sf_dir), "vec_id", "label", "embedding")
 
 
 def nearest_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(spark, sf_dir).select("vec_id", F.col("predicted").cast("bigint").alias("predicted"), "score")
+    return _class_ranks(spark, sf_dir).select("vec_id", F.col("predicted").cast("bigint").alias("predicted"), "score")
 
 
 def accuracy_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.accuracy_at_k(_ranks(spark, sf_dir))
+    return evaluate.accuracy_at_k(_class_ranks(spark, sf_dir))
 
 
 def macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def macro_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def per_class_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.per_class_accuracy(_ranks(spark, sf_dir), "label")
+    return evaluate.per_class_accuracy(_class_ranks(spark, sf_dir), "label")
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,24 +5,21 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__
+from phytomill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("topk_batch", "class_coverage", "accuracy_at_k", "macro_auc", "taxonomy_pivot", "taxonomy_enrich_left", "photos_first_n", "files_scan", "sample_exact", "batch_id_lists", "p4_found", "p4_filled")
-
-
 def form(value):
-    return f"{value:.6f}" if isinstance(value, float) else str(value)
+    return f"{value:.5f}".replace("-0.00000", "0.00000") if isinstance(value, float) else str(value)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(SF):
         con.sql(f"create view {file.split('.')[0]} as select * from '{SF}/{file}'")
-    theirs = con.sql(__spark_entry__.oracle_sql()[name])
-    ours = __spark_entry__.queries()[name](spark, SF)
+    theirs = con.sql(catalog.ORACLE[name])
+    ours = catalog.QUERIES[name](spark, SF)
     assert sorted(ours.columns) == sorted(theirs.columns)
     order = [theirs.columns.index(c) for c in sorted(theirs.columns)]
     want = sorted(tuple(form(r[i]) for i in order) for r in theirs.fetchall())
