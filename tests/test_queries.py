@@ -8,6 +8,8 @@ import pytest
 from phytomill.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+
+
 def form(value):
     return f"{value:.5f}".replace("-0.00000", "0.00000") if isinstance(value, float) else str(value)
 
