@@ -56,7 +56,7 @@ class Best:
         self.score[q[best], rank[best]], self.found[q[best], rank[best]] = cos[best], i[best]
 
 
-def _mix(ids: np.ndarray) -> np.ndarray:
+def mix(ids: np.ndarray) -> np.ndarray:
     """A hash of each id, in [0, 1)."""
     with np.errstate(over="ignore"):
         x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -64,9 +64,14 @@ def _mix(ids: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k: int, dims: int, curves: int, window: int, same: bool, places: int, half: bool, seed: int) -> DataFrame:
+def window_hits(
+    index: DataFrame, queries: DataFrame | None, n: int, m: int, k: int, dims: int, curves: int, window: int, same: bool, places: int, half: bool, seed: int, near: float | None = None,
+) -> DataFrame:
     """(qid, iid, s): for each curve and range it touches, a query's k best index vectors within its window; repeats occur.
 
+    near: instead (qid, iid, s, pos), the k best of each query over all curves that are as similar as that, without repeats, and their
+    places among them from 0; hits meet in blocks, which spares the JVM a row for each.
+
     index, queries: (id, vec); n, m: their rows. queries None: every index row is a query. Every row of a curve has a place, estimated
     on the sample, and belongs to a range of about RANGE_ROWS places. Queries travel to all ranges their window touches (or, where
     every row is a query, rows travel to the ranges that may see them). Ranges that many queries touch are
@@ -83,7 +88,7 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
     def places_of(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(curve, rows, keys, home, first and last range of the window) of a batch (id, vec)."""
         rows = V.unit(V.unpacked(b.column(1), dims))
-        u = _mix(b.column(0).to_numpy(zero_copy_only=False))
+        u = mix(b.column(0).to_numpy(zero_copy_only=False))
         for c, curve in enumerate(plan.value):
             key, before, upto = curve.place(rows)
             at = (before + u * (upto - before)) * n  # rows of one key are spread over its places
@@ -114,12 +119,13 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
 
     def scatter(role: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            V.settle()
             for b in batches:
                 if not b.num_rows:
                     continue
                 block = np.zeros(b.num_rows, dtype=record)
                 block["id"] = b.column(0).to_numpy(zero_copy_only=False)
-                u = _mix(block["id"])
+                u = mix(block["id"])
                 groups, blocks = [], []
                 for c, rows, key, home, first, last in places_of(b):
                     block["key"], block["vec"] = key, rows
@@ -144,8 +150,9 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
         return run
 
     def search(table: pa.Table) -> pa.Table:
+        V.settle()
         every = np.frombuffer(b"".join(table.column("block").to_pylist()), dtype=record)
-        every = every[np.lexsort((_mix(every["id"]), every["key"]))]  # of rows with one key a query sees those around its own hash
+        every = every[np.lexsort((mix(every["id"]), every["key"]))]  # of rows with one key a query sees those around its own hash
         known, asked = every[every["role"] & _INDEX > 0], every[every["role"] & _QUERY > 0]
         out = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
         if len(known) and len(asked):
@@ -172,7 +179,32 @@ def window_hits(index: DataFrame, queries: DataFrame | None, n: int, m: int, k:
         sent = index.select("id", "vec").mapInArrow(scatter(_INDEX | _QUERY), "g bigint, block binary")
     else:
         sent = index.select("id", "vec").mapInArrow(scatter(_INDEX), "g bigint, block binary").union(queries.select("id", "vec").mapInArrow(scatter(_QUERY), "g bigint, block binary"))
-    return sent.groupBy("g").applyInArrow(search, "qid bigint, iid bigint, s double")
+    if near is None:
+        return sent.groupBy("g").applyInArrow(search, "qid bigint, iid bigint, s double")
+    buckets = max(1, -(-m // RANGE_ROWS))
+    hit = np.dtype([("qid", "<i8"), ("iid", "<i8"), ("s", "<i4")])  # s in units of the last place
+
+    def packed(table: pa.Table) -> pa.Table:
+        q, i, s = (x.to_numpy() for x in search(table).columns)
+        there = s >= near
+        block = np.zeros(there.sum(), dtype=hit)
+        block["qid"], block["iid"], block["s"] = q[there], i[there], np.rint(s[there] * 10**places)
+        b = (mix(block["qid"]) * buckets).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        which, first = np.unique(b[order], return_index=True)
+        return pa.table({"b": which, "block": pa.array([x.tobytes() for x in np.split(block[order], first[1:])] if len(which) else [], pa.binary())})
+
+    def merged(table: pa.Table) -> pa.Table:
+        V.settle()
+        every = np.frombuffer(b"".join(table.column("block").to_pylist()), dtype=hit)
+        every = every[np.lexsort((every["iid"], -every["s"], every["qid"]))]
+        q = every["qid"]
+        every = every[np.concatenate([[True], (q[1:] != q[:-1]) | (every["iid"][1:] != every["iid"][:-1])])]  # one pair has one cosine: its repeats are side by side
+        rank = np.arange(len(every)) - np.searchsorted(every["qid"], every["qid"])
+        every, rank = every[rank < k], rank[rank < k]
+        return pa.table({"qid": np.ascontiguousarray(every["qid"]), "iid": np.ascontiguousarray(every["iid"]), "s": every["s"] / 10**places, "pos": rank.astype(np.int32)})
+
+    return sent.groupBy("g").applyInArrow(packed, "b bigint, block binary").groupBy("b").applyInArrow(merged, "qid bigint, iid bigint, s double, pos int")
 
 
 def best_hits(hits: DataFrame, k: int) -> DataFrame:

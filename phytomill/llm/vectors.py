@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,13 @@ from phytomill.runtime import lookup_join, materialize
 FIT_ROWS, RANGES = 16_384, 16
 
 
+def settle() -> None:
+    """Once a Python worker: what is loaded by now stays, so that the collection after each of its tasks needn't walk it again."""
+    if not gc.get_freeze_count():
+        gc.collect()
+        gc.freeze()
+
+
 def usable(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """(usable, float32 rows of the usable): those of `dims` finite numbers, not all zero."""
     good, rows = matrix(column, dims)

@@ -104,9 +104,11 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS, most: int | None = None) -> DataFrame:
     """Join a big side with a lookup table: broadcast after measuring it, else an ordinary join (AQE splits hot keys).
 
+    most: rows that the table has at most, where the caller knows; within max_rows they aren't counted again.
+
     A table that takes more than reading and filtering is written first, so that measuring it doesn't compute it twice. Broadcast
     are at most max_rows rows whose files, as Spark estimates the columns read, hold at most BROADCAST_BYTES.
     """
@@ -114,7 +116,8 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "le
     if _COSTLY.search(plan.toString()):
         table = materialize(table, "lookup")
         plan = table._jdf.queryExecution().optimizedPlan()
-    small = int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES and table.limit(max_rows + 1).count() <= max_rows
+    few = most is not None and most <= max_rows
+    small = int(str(plan.stats().sizeInBytes())) <= BROADCAST_BYTES and (few or table.limit(max_rows + 1).count() <= max_rows)
     return rows.join(F.broadcast(table) if small else table, on, how)
 
 

@@ -183,6 +183,41 @@ def test_clusters(spark):
     assert clusters.cluster(df.limit(0), "id", dims=32).count() == 0
 
 
+def test_rounds_touch_changed_labels_only(spark, monkeypatch):
+    df, rows = points(spark, dims=32)
+    plain, seen = clusters.means, []
+
+    def counting(members, *args):
+        seen.append(members.count())
+        return plain(members, *args)
+
+    monkeypatch.setattr(clusters, "means", counting)
+    got = clusters.cluster(df, "id", dims=32).collect()
+    assert len(seen) > 1 and seen[-1] < seen[0] / 2  # a round once took every vector's mean and cosine again
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for c in {r.cluster_id for r in got}:
+        members = [r for r in got if r.cluster_id == c]
+        mean = x[[r.id for r in members]].sum(axis=0)
+        assert all(abs(r.similarity - x[r.id] @ mean / np.linalg.norm(mean)) < 1e-4 for r in members)
+
+
+def test_lists_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16)).astype(np.float32)
+    x[300:350] = x[:50]  # equal cosines
+    df = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(x)], "id bigint, vec binary").repartition(3)
+    args = (df, None, 400, 400, 6, 16, 3, 150, True, 6, True, 2)
+    want = {(r.qid, r.iid, r.s) for r in knn.best_hits(knn.window_hits(*args).filter("s >= 0.3"), 6).collect()}
+    got = knn.window_hits(*args, 0.3).collect()
+    assert len(got) == len(want) > 400 and {(r.qid, r.iid, r.s) for r in got} == want
+    by = {}
+    for r in got:
+        by.setdefault(r.qid, []).append((r.pos, -r.s, r.iid))
+    assert all([p for p, _, _ in sorted(v)] == list(range(len(v))) and [v_[1:] for v_ in sorted(v)] == sorted(v_[1:] for v_ in v) for v in by.values())
+    assert knn.window_hits(*args, 1.5).count() == 0
+
+
 def test_density_peaks(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(6, 24))[rng.integers(6, size=700)] + rng.normal(size=(700, 24)) * 0.5
